@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import ngram_join
+from quern.llm import decontam, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": ngram_join.op9,
+    "op10_benchmark_decontamination": decontam.op10,
 }
 ORACLE: dict[str, str] = {}
