@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, ngram_join
+from quern.llm import decontam, ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_quality_resampling": quality.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_benchmark_decontamination": decontam.op10,
 }
