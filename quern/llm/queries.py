@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, ngram_join, quality
+from quern.llm import decontam, ngram_join, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": substring.op4,
     "op8_quality_resampling": quality.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_benchmark_decontamination": decontam.op10,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": substring.OP4_SQL,
+}
