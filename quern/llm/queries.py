@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, langid, ngram_join, quality, substring, token_counts
+from quern.llm import decontam, langid, ngram_join, pii, quality, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": token_counts.op3,
     "op4_line_dedup": substring.op4,
+    "op6_pii_pseudonyms": pii.op6,
     "op7_language_id": langid.op7,
     "op8_quality_resampling": quality.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
