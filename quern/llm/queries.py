@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, langid, ngram_join, pii, quality, substring, token_counts
+from quern.llm import decontam, langid, media, ngram_join, pii, quality, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_chunks": media.op2,
     "op3_token_counts": token_counts.op3,
     "op4_line_dedup": substring.op4,
     "op6_pii_pseudonyms": pii.op6,
