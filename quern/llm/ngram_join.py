@@ -3,15 +3,14 @@
 Under any one order of all n-grams, two sets of Jaccard similarity t or more share an n-gram
 among the first |x| - ceil(t|x|) + 1 of each: their prefixes. Here three such orders, each a fixed
 pseudo-random permutation of the 64-bit n-gram hashes, are used at once. A pair becomes a
-candidate only if it shares a prefix n-gram under the first order and one under the second (both
-go into one join key, so n-grams that thousands of unrelated texts share make no long lists by
-themselves) and one under the third, which is looked at before any whole set is moved. What is
-left is verified on the whole sets.
+candidate only if it shares a prefix n-gram under every order: a join key is made of one n-gram
+from each of the three prefixes, so the filters are intersected before any pair is formed, and
+n-grams that thousands of unrelated texts share make no long lists by themselves.
 
 Prefixes are cut at ``DEPTH`` n-grams an order. With uncut prefixes the filter misses nothing but
-makes hundreds of keys a document; at five, a pair of similarity 0.6 is found with probability
-0.98 and one of 0.8 with 0.999, before the links through other members of its group. Sets whose
-whole prefix is shorter are filtered exactly. tests/llm holds the recall against brute force.
+makes millions of keys a document; at four (64 keys), a pair of similarity 0.6 is found with
+probability 0.98 and one of 0.8 with 0.9996, before the links through other members of its group.
+Sets whose whole prefix is shorter are filtered exactly. tests/llm holds the recall against brute force.
 
 Groups are connected components. Each key's documents are first compared with the least of them;
 only those that no verified pair has connected by then are compared with each other, so a group
@@ -34,7 +33,7 @@ from quern.llm._io import broadcast_if_small, cut, id_and_text, repeats_ids, tab
 
 N = 3
 THRESHOLD = 0.6
-DEPTH = 5
+DEPTH = 4
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -55,7 +54,7 @@ def _signer(n: int, threshold: float, depth: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            size, h1, h2, keys, third = [], [], [], [], []
+            size, h1, h2, keys = [], [], [], []
             for g in _sets(b, n, powers):
                 m = mix(g)
                 size.append(len(g))
@@ -63,13 +62,11 @@ def _signer(n: int, threshold: float, depth: int) -> Callable:
                 h2.append(int(np.bitwise_xor.reduce(mix(m)).astype(np.int64)) if len(g) else 0)
                 if len(g) == 0:
                     keys.append([])
-                    third.append([])
                     continue
                 p = min(len(g) - math.ceil(threshold * len(g) - 1e-9) + 1, depth)
-                a, c = _prefix(g, ORDERS[0], p), _prefix(g, ORDERS[1], p)
-                keys.append(np.unique(mix(a[:, None] * U(3) + c[None, :])).view(np.int64))
-                third.append(_prefix(g, ORDERS[2], min(len(g) - math.ceil(threshold * len(g) - 1e-9) + 1, 2 * depth)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(third, pa.list_(pa.int64()))], names=["doc_id", "size", "h1", "h2", "keys", "third"])
+                x, y, z = (_prefix(g, salt, p) for salt in ORDERS)
+                keys.append(np.unique(mix(mix(x[:, None, None] * U(3) + y[:, None]) * U(3) + z)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "size", "h1", "h2", "keys"])
 
     return run
 
@@ -105,21 +102,20 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
-    """A row a document with any token: doc_id, the size of its set, rep (the least doc_id with the same set),
-    its join keys from the first two orders and its prefix under the third. Written in the shared folder."""
+    """A row a document with any token: doc_id, the size of its set, rep (the least doc_id with the
+    same set) and its join keys. Written in the shared folder."""
     slim = id_and_text(docs, F.lower("text"))
-    signed = slim.mapInArrow(_signer(n, threshold, depth), "doc_id long, size int, h1 long, h2 long, keys array<long>, third array<long>")
+    signed = slim.mapInArrow(_signer(n, threshold, depth), "doc_id long, size int, h1 long, h2 long, keys array<long>")
     same = Window.partitionBy("size", "h1", "h2")
     return cut(signed.where("size > 0").withColumn("rep", F.min("doc_id").over(same)).drop("h1", "h2"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs at the threshold or above: first by size and the third order's prefixes, then on the sets."""
-    third = signed.where("doc_id = rep").select("doc_id", "size", "third")
+    """(a, b, jaccard) of the candidate pairs at the threshold or above: first by size, then on the sets."""
+    sizes = signed.where("doc_id = rep").select("doc_id", "size")
     for side in "ab":
-        pairs = pairs.join(third.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}"), F.col("third").alias(f"t{side}")), side)
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9) & F.arrays_overlap("ta", "tb")
-    pairs = cut(pairs.where(near).select("a", "b"))
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}")), side)
+    pairs = cut(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9).select("a", "b"))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = id_and_text(docs, F.lower("text")).join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_packer(n), "doc_id long, grams binary")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
@@ -127,7 +123,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int, thresh
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different sets, a > b, that share a key: a prefix n-gram under the first and one under the second order."""
+    """All pairs (a, b) of different sets, a > b, that share a key: a prefix n-gram under each order."""
     e = signed.where("doc_id = rep").select(F.explode("keys").alias("key"), "doc_id").repartition("key")
     return e.select("key", F.col("doc_id").alias("a")).join(e.select("key", F.col("doc_id").alias("b")), "key").where("a > b").select("a", "b").distinct()
 
