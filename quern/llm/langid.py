@@ -33,7 +33,7 @@ def _start(vocab: lattice.Vocabulary) -> np.ndarray:
 
 def _expecter(held: object, languages: list[str], logp: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, powers = held.value, Powers()
+        vocab, powers = lattice.Vocabulary(*held.value), Powers()
         number = {x: i for i, x in enumerate(languages)}
         total = np.zeros_like(logp.value)
         for b in batches:
@@ -49,7 +49,7 @@ def _expecter(held: object, languages: list[str], logp: object) -> Callable:
 
 def fit(docs: DataFrame, held: object, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
     """The languages in order, and log probabilities with a row a piece (the last: a byte) and a column a language."""
-    spark, vocab = docs.sparkSession, held.value
+    spark, vocab = docs.sparkSession, lattice.Vocabulary(*held.value)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = docs.where("doc_id is not null and lang is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("lang").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= max_labelled).drop("rank")
     labelled = cut(id_and_text(docs).join(F.broadcast(ids), "doc_id").select("lang", "text"))
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, held: object, max_labelled: int = MAX_LABELLED, rounds:
 
 def _scorer(held: object, languages: list[str], logp: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, powers = held.value, Powers()
+        vocab, powers = lattice.Vocabulary(*held.value), Powers()
         for b in batches:
             texts, word, row = lattice.words(b.column("text"), powers)
             each = lattice.forward(texts, vocab, logp.value)
@@ -92,7 +92,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: i
     lang. Other columns don't matter.
     """
     sc = docs.sparkSession.sparkContext
-    held = sc.broadcast(lattice.load(vocabulary))
+    held = sc.broadcast(lattice.load(vocabulary).parts())
     languages, logp = fit(docs if labelled is None else labelled, held, max_labelled)
     if not languages:
         return id_and_text(docs).select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("posterior"))

@@ -42,6 +42,10 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.texts)
 
+    def parts(self) -> tuple:
+        """What the constructor takes, as plain values: workers unpickle a broadcast without this package."""
+        return self.texts, self.keys, self.ids, self.longest
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The id of each hash, -1 for none."""
         a, b = (h >> U(47)).astype(np.int64), ((h >> U(30)) & U(0x1FFFF)).astype(np.int64)

@@ -23,7 +23,7 @@ from quern.llm._io import id_and_text, table
 
 def _counter(held: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, powers = held.value, Powers()
+        vocab, powers = lattice.Vocabulary(*held.value), Powers()
         score = lattice.zipf(vocab.size)
         for b in batches:
             texts, word, row = lattice.words(b.column("text"), powers)
@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataF
     Null, empty and blank texts have 0 tokens. Rows with a null doc_id are left out, rows that
     share one are one document with the least text. White space is ASCII's. Other columns don't matter.
     """
-    held = docs.sparkSession.sparkContext.broadcast(lattice.load(vocabulary))
+    held = docs.sparkSession.sparkContext.broadcast(lattice.load(vocabulary).parts())
     return id_and_text(docs).mapInArrow(_counter(held), "doc_id long, n_words long, n_tokens long, log_prob double")
 
 
