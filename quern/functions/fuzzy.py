@@ -11,6 +11,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A term up to this length fits the bits of one BIGINT; ANSI arithmetic needs two to spare.
 MAX_BITS = 61
@@ -38,7 +39,7 @@ def lcs_of_literal(term: str, content: Column) -> Column:
     return F.lit(m) - F.bit_count(F.aggregate(F.split(content, ""), every, step))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two columns of any length, with the bits in one long integer."""
     out = []

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as ECMAScript has it; Java's \s is ASCII alone.
 SPACE = "\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
@@ -21,7 +22,7 @@ MAX_LENGTH = 512
 LONGEST_WORD = 200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd(s: pd.Series) -> pd.Series:
     """Canonical decomposition; accents stay, as marks of their own."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFD", x))

@@ -138,6 +138,16 @@ def _first_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _nearest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors that have a document, and their texts: ids are joined first, texts for the ten alone."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "vec_id")
+    held = table(spark, d, "embeddings").join(docs.select("vec_id"), "vec_id", "left_semi")
+    best = search.search_vectors(held, _first_vector(spark, d), 10, order="vec_id").select("vec_id", "similarity")
+    return search.first_n(docs.select("vec_id", "text").join(F.broadcast(best), "vec_id"), search.similarity_order("vec_id"))
+
+
 RANKED = f"SELECT e.vec_id, d.text, round(list_cosine_similarity({Q0}, e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
 
 
@@ -148,16 +158,12 @@ def cosine_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{RANKED} ORDER BY list_cosine_similarity({Q0}, e.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10")
 def docs_topk(spark: SparkSession, d: str) -> DataFrame:
-    best = search.with_similarity(table(spark, d, "embeddings"), _first_vector(spark, d)).select("vec_id", "similarity")
-    joined = best.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return rounded(search.first_n(joined, search.similarity_order("vec_id"), 10), "similarity", 6).select("vec_id", "text", "similarity")
+    return rounded(_nearest_documents(spark, d), "similarity", 6).select("vec_id", "text", "similarity")
 
 
 @query(f"SELECT coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY s DESC, vec_id), '') AS text FROM (SELECT e.vec_id, d.text, list_cosine_similarity({Q0}, e.embedding::DOUBLE[]) AS s FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id ORDER BY s DESC, e.vec_id LIMIT 10)")
 def docs_topk_text(spark: SparkSession, d: str) -> DataFrame:
-    best = search.with_similarity(table(spark, d, "embeddings"), _first_vector(spark, d)).select("vec_id", "similarity")
-    joined = best.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return search.joined_text(search.first_n(joined, search.similarity_order("vec_id"), 10), search.similarity_order("vec_id"), "text")
+    return search.joined_text(_nearest_documents(spark, d), search.similarity_order("vec_id"), "text")
 
 
 @query("SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id))::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e)) WHERE rank <= 5")
@@ -182,7 +188,7 @@ def normalize_vec(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flat.withColumn("x", F.col("x").cast("double")), "x", 5)
 
 
-MEANS = "SELECT {key}, (i - 1)::INTEGER AS dim, round(avg(x::DOUBLE), 5) AS x FROM (SELECT {key}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY {key}, i"
+MEANS = "SELECT {key}, (i - 1)::INTEGER AS dim, round(avg(x::DOUBLE)::FLOAT::DOUBLE, 5) AS x FROM (SELECT {key}, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY {key}, i"
 
 
 @query(MEANS.format(key="label"))
@@ -191,7 +197,7 @@ def mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return rounded(means.select("label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double")), "x", 5)
 
 
-@query("SELECT (vec_id // 3)::BIGINT AS text_id, (i - 1)::INTEGER AS dim, round(avg(x::DOUBLE), 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
+@query("SELECT (vec_id // 3)::BIGINT AS text_id, (i - 1)::INTEGER AS dim, round(avg(x::DOUBLE)::FLOAT::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
 def chunk_average(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 3).cast("bigint"))
     means = vectors.mean_by(chunks, ["text_id"], "embedding")
