@@ -6,12 +6,18 @@ noise added to it and a cut at the k-th largest sum is a sample of k documents w
 replacement in proportion to the importance.
 
 Tokens are runs of letters and digits and runs of other signs, in the case they have; n-grams
-have one or two. The raw model counts every document. The target model is fitted on at most
-MAX_LABELLED labelled documents (those with the least hashes of doc_id): a bound on labels, not on
-documents. k is the share of good quality among the labels, times all documents with any token.
-
-Counts of rare n-grams are smoothed towards the raw model: ratio = (c + S) / (e + S) with c the
-n-gram's count in the target text and e the count to expect there if it were raw.
+have one or two. The raw model counts every document. The target model is fitted on the good ones,
+of good quality and not toxic, of at most MAX_LABELLED labelled documents (those with the least
+hashes of doc_id): a bound on labels, not on documents.
+
+An n-gram's ratio is (c + S) / (e + S) with c its count in the target text and e the count to
+expect there if it were raw. The models differ only where the number of documents that have the
+n-gram does, by SIGNIFICANCE standard deviations: else the rare words of a labelled text would
+speak for it and those of any other text against it, the more the longer it is.
+
+k is the number of documents from the least key up that separates the labelled documents best,
+where a good document lost counts as LOST others kept. So k follows what the corpus holds, and not
+the share of good ones among the labels.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from quern.llm._io import broadcast_if_small, cut, id_and_text, table
 
 BITS = 20
 SMOOTHING = 2.0
+SIGNIFICANCE = 2.5
+LOST = 3
 MAX_LABELLED = 50_000
 SEED = 0x5851F42D4C957F2D
 KIND = np.full(256, 2, np.uint8)
@@ -61,17 +69,22 @@ def features(col: pa.Array, powers: Powers, bits: int = BITS) -> Iterator[tuple[
 
 def _counter(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, raw, target = Powers(), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        powers, size = Powers(), 1 << bits
+        raw, target, docs, target_docs = np.zeros((4, size), np.int64)
         for b in batches:
             good = np.asarray(b.column("good").to_numpy(zero_copy_only=False), bool)
             for lo, buckets, before in features(b.column("text"), powers, bits):
-                raw += np.bincount(buckets, minlength=1 << bits)
-                own = np.repeat(good[lo : lo + len(before) - 1], np.diff(before))
-                target += np.bincount(buckets[own], minlength=1 << bits)
+                row = np.repeat(np.arange(len(before) - 1), np.diff(before))
+                raw += np.bincount(buckets, minlength=size)
+                target += np.bincount(buckets[good[lo + row]], minlength=size)
+                once = np.unique(row << bits | buckets)
+                own = once & (size - 1)
+                docs += np.bincount(own, minlength=size)
+                target_docs += np.bincount(own[good[lo + (once >> bits)]], minlength=size)
         k = np.flatnonzero(raw)
         for lo in range(0, len(k), 1 << 17):
             p = k[lo : lo + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(raw[p]), pa.array(target[p])], names=["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *(pa.array(x[p]) for x in (raw, target, docs, target_docs))], names=["bucket", "raw", "target", "docs", "target_docs"])
 
     return run
 
@@ -91,21 +104,38 @@ def _scorer(weights: object, bits: int) -> Callable:
     return run
 
 
-def fit(slim: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, smoothing: float = SMOOTHING, bits: int = BITS) -> tuple[np.ndarray, float] | None:
-    """The log ratio of each bucket and the share of documents to keep; None if no document has a good label."""
-    labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    share = labels.where("quality is not null").agg(F.avg((F.col("quality") >= 1).cast("double"))).first()[0]
-    good = labels.where("quality >= 1 and coalesce(toxic, 0) = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.lit(True).alias("good"))
-    marked = slim.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = marked.mapInArrow(_counter(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    if counted.num_rows:
-        at = counted["bucket"].to_numpy()
-        raw[at], target[at] = counted["raw"].to_numpy(), counted["target"].to_numpy()
+def chosen(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, good) of at most so many labelled documents. Of several labels of one the worst
+    counts; a null quality is no label, a null toxic is 0."""
+    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = (F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    return one.where("quality is not null").select("doc_id", good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+
+
+def fit(slim: DataFrame, labelled: DataFrame, smoothing: float = SMOOTHING, bits: int = BITS, significance: float = SIGNIFICANCE) -> np.ndarray | None:
+    """The log ratio of each bucket; None if no document is labelled as good."""
+    marked = slim.join(F.broadcast(labelled.where("good")), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    names = ["raw", "target", "docs", "target_docs"]
+    counted = marked.mapInArrow(_counter(bits), "bucket int, raw long, target long, docs long, target_docs long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    size = marked.agg(F.count_if(F.length("text") > 0), F.count_if((F.length("text") > 0) & F.col("good"))).first()
+    held = np.zeros((4, 1 << bits))
+    for i, c in enumerate(names if counted.num_rows else []):
+        held[i, counted["bucket"].to_numpy()] = counted[c].to_numpy()
+    raw, target, docs, target_docs = held
     if target.sum() == 0:
         return None
-    expected = raw * (target.sum() / raw.sum())
-    return np.log((target + smoothing) / (expected + smoothing)).astype(np.float32), share
+    expected, expected_docs = raw * (target.sum() / raw.sum()), docs * (size[1] / size[0])
+    differs = np.abs(target_docs - expected_docs) >= significance * np.sqrt(expected_docs + 1)
+    return np.where(differs, np.log((target + smoothing) / (expected + smoothing)), 0.0).astype(np.float32)
+
+
+def least_key(keys: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
+    """The key from which on documents are kept with the least harm; -inf if all are good."""
+    if good.all():
+        return -np.inf
+    o = np.argsort(-keys, kind="stable")
+    harm = np.cumsum(~good[o]) + lost * (good.sum() - np.cumsum(good[o]))
+    return float(keys[o][harm.argmin()])
 
 
 def top_k(scored: DataFrame, k: int, by: str = "key") -> DataFrame:
@@ -140,20 +170,23 @@ def top_k(scored: DataFrame, k: int, by: str = "key") -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, n_grams, log_weight, key) of the sampled documents.
 
-    share: of documents with any token, to keep; None takes that of good quality among the
-    labels. Null, empty and blank texts have no n-grams and are never sampled; rows with a null
-    doc_id aren't either, and rows that share one are one document. Without any good label there
-    is no target, and all documents with a token are kept with log_weight 0. Ties at the cut go
-    to the least doc_id. Other columns don't matter.
+    share: of documents with any token, to keep; None finds k by the labelled documents. Null,
+    empty and blank texts have no n-grams and are never sampled; rows with a null doc_id aren't
+    either, and rows that share one are one document. Without any good label there is no target,
+    and all documents with a token are kept with log_weight 0. Ties at the cut go to the least
+    doc_id if share is given and are kept otherwise. Other columns don't matter.
     """
-    spark = docs.sparkSession
     slim = id_and_text(docs)
-    model = fit(slim, labels, max_labelled)
-    weights, found = model or (np.zeros(1 << BITS, np.float32), 1.0)
-    held = spark.sparkContext.broadcast(weights)
+    labelled = cut(chosen(labels, max_labelled))
+    model = fit(slim, labelled)
+    held = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << BITS, np.float32) if model is None else model)
     scored = cut(slim.mapInArrow(_scorer(held, BITS), "doc_id long, n_grams long, log_weight double, key double").where("n_grams > 0"))
-    share = found if share is None or model is None else share
-    return scored if share >= 1 else top_k(scored, round(share * scored.count()))
+    if model is None:
+        return scored
+    if share is not None:
+        return scored if share >= 1 else top_k(scored, round(share * scored.count()))
+    known = scored.join(F.broadcast(labelled), "doc_id").select("key", "good").toArrow()
+    return scored.where(F.col("key") >= least_key(known["key"].to_numpy(), known["good"].to_numpy()))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
