@@ -61,6 +61,20 @@ def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids, a written table of one column; rows with a null doc_id stay."""
+    name = fresh(docs, "_gone")
+    return docs.join(broadcast_if_small(ids.toDF(name)), docs["doc_id"] == F.col(name), "left_anti")
+
+
 def id_and_text(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """doc_id and text alone, text null as ''. Rows without a doc_id go. Rows that share a doc_id
     count as one document, with the least of their texts."""

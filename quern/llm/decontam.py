@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
-from quern.llm._io import broadcast_if_small, cut, id_and_text, table
+from quern.llm._io import cut, id_and_text, table, without
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -177,8 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """docs without those that cover a benchmark item; all rows of a doc_id go if one does, rows
     with a null doc_id stay. All columns stay as they are."""
-    gone = cut(contamination(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    return without(docs, cut(contamination(docs, benchmark, min_match, coverage).select("doc_id").distinct()))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

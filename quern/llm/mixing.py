@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._io import broadcast_if_small, cut, repeats_ids, table
+from quern.llm._io import broadcast_if_small, cut, fresh, repeats_ids, table
 
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 #: Shares without given weights: in proportion to the sources' tokens to this power.
@@ -157,9 +157,11 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, budget: flo
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """docs with each row as often as it has copies, numbered from 1 in the column copy (which
     replaces one of that name). Rows without copies, those with a null doc_id among them, go."""
-    n = cut(copies(docs, weights, budget).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies"))
-    joined = docs.drop("copy").join(broadcast_if_small(n.withColumnRenamed("copies", "_copies")), docs["doc_id"] == F.col("_id"))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_id", "_copies")
+    docs = docs.drop("copy")
+    key, times = fresh(docs, "_id"), fresh(docs, "_times")
+    n = cut(copies(docs, weights, budget).where("copies > 0").select("doc_id", "copies")).toDF(key, times)
+    joined = docs.join(broadcast_if_small(n), docs["doc_id"] == F.col(key))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop(key, times)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

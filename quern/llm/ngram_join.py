@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans
 from quern.llm._graph import components
-from quern.llm._io import broadcast_if_small, cut, id_and_text, repeats_ids, table
+from quern.llm._io import broadcast_if_small, cut, fresh, id_and_text, repeats_ids, table, without
 
 N = 3
 THRESHOLD = 0.6
@@ -171,11 +171,12 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: i
     """docs with one document of each group, the one with the least doc_id, and every document
     without a partner, among them all with null, empty or token-less text or a null doc_id. Of
     repeated rows of one doc_id in a group that stays one row does. All columns stay as they are."""
-    gone = cut(jaccard_groups(docs, n, threshold, depth).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
+    gone = cut(jaccard_groups(docs, n, threshold, depth).where("doc_id <> group_id").select("doc_id"))
     if repeats_ids(docs):
-        row = Window.partitionBy("doc_id").orderBy("text")
-        docs = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.row_number().over(row)).otherwise(1)).where("_row = 1").drop("_row")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+        row = fresh(docs, "_row")
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        docs = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), number).otherwise(1)).where(F.col(row) == 1).drop(row)
+    return without(docs, gone)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

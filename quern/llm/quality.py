@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import WORD, Powers, U, hashes, mix, pieces
-from quern.llm._io import broadcast_if_small, cut, id_and_text, table
+from quern.llm._io import cut, id_and_text, table, without
 
 BITS = 20
 SMOOTHING = 2.0
@@ -192,8 +192,8 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_l
 def keep_sampled(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs without those that sample() leaves out. Rows with a null doc_id stay; all columns stay as they are."""
     kept = sample(docs, labels, share, max_labelled).select("doc_id")
-    gone = cut(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_gone")).distinct().join(kept, F.col("_gone") == F.col("doc_id"), "left_anti"))
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return without(docs, cut(every.join(kept, "doc_id", "left_anti")))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
