@@ -1,0 +1,81 @@
+import json
+
+import pytest
+
+from quern import tools
+from quern.operators import embed
+from quern.sources import vecstore
+from quern.streaming import refresh
+from test_catalog import SHOP
+
+VOCAB = {t: i for i, t in enumerate(["[UNK]", "[CLS]", "[SEP]", "cat", "dog", "tree"])}
+
+
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("project")
+    (folder / "schema.json").write_text(json.dumps({"definitions": SHOP}))
+    docs = spark.createDataFrame([(0, "cat cat"), (1, "dog"), (2, "tree dog")], "ord int, content string")
+    store = embed.embed(docs, "content", VOCAB, embed.hash_model(32)).cache()
+    e = tools.Engine(spark, store, VOCAB, embed.hash_model(32), offline=True)
+    return e, str(folder / "schema.json")
+
+
+def test_search_model(engine):
+    e, path = engine
+    rows = e.call_tool("search_model", {"projectPath": path, "kind": "service", "topN": 3}).collect()
+    assert rows[0].name == "AdminService" and rows[0].exposed_entities[0] == "AdminService.Books" and tuple(rows[0].endpoints[0]) == ("odata", "odata/v4/admin/")
+    rows = e.call_tool("search_model", {"projectPath": path, "name": "Books", "kind": "entity", "topN": 2}).collect()
+    assert [r.name for r in rows] == ["my.Books", "AdminService.Books"] and rows[1].endpoints[0].path == "odata/v4/admin/Books"
+    assert e.call_tool("search_model", {"projectPath": path, "name": "books", "namesOnly": True, "topN": 100}).columns == ["name"]
+
+
+def test_defaults_and_raw_calls(engine):
+    e, path = engine
+    assert e.call_tool("search_model", {"projectPath": path}).count() == 1
+    assert e.call_tool("search_model", {"projectPath": path}, raw=True).count() == len(SHOP)
+    assert e.call_tool("search_model", {"projectPath": path, "namesOnly": "false", "topN": "2"}, raw=True).columns == ["name"]
+    for bad in ({}, {"projectPath": path, "topN": "2"}, {"projectPath": path, "topN": True}, {"projectPath": 7}):
+        with pytest.raises(TypeError):
+            e.call_tool("search_model", bad)
+    with pytest.raises(KeyError):
+        e.call_tool("nothing", {})
+
+
+def test_search_docs(engine):
+    e, _ = engine
+    assert e.call_tool("search_docs", {"query": "dog", "maxResults": 2}).first().text == "dog\n---\ntree dog"
+    assert len(e.call_tool("search_docs", {"query": "cat"}).first().text.split("\n---\n")) == 3
+    assert e.call_text("search_docs", {}) == "query is required"
+
+
+def test_corrupted_store_is_repaired(spark, engine):
+    e, _ = engine
+    calls = []
+
+    def store():
+        calls.append("read")
+        if len(calls) < 3:
+            raise vecstore.EmbeddingsCorrupted("x")
+        return e._store
+
+    healed = tools.Engine(spark, store, VOCAB, embed.hash_model(32), repair=lambda: calls.append("repair"), offline=False)
+    assert healed.ranked_docs("dog", 1).first().content == "dog" and calls == ["read", "repair", "read"]
+
+
+def test_command_line(engine, capsys):
+    e, path = engine
+    assert tools.main(["search_model", path, "AdminService", "service", "1", "x"], lambda: e) == 0
+    assert json.loads(capsys.readouterr().out) == ["AdminService"]
+    assert tools.main(["search_model", path, "AdminService", "service", "1"], lambda: e) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found[0]["name"] == "AdminService" and found[0]["exposedEntities"] and found[0]["kind"] == "service"
+    assert tools.main(["search_docs", "dog", "1"], lambda: e) == 0
+    assert capsys.readouterr().out == "dog\n"
+    assert tools.main(["nothing"], lambda: e) == 1 and "search_docs" in capsys.readouterr().err
+    assert tools.main(["--wrong"]) == 1 and tools.main(["search_model", "/nowhere/x.json"], lambda: e) == 1
+    assert tools.main(["--version"]) == 0 and tools.main([]) == 0
+    capsys.readouterr()
+    assert tools.main(["--download"], update=lambda: refresh.Download("v1", True)) == 0
+    assert json.loads(capsys.readouterr().out) == {"etag": "v1", "updated": True}
+    assert tools.main(["--download", "--offline"], update=lambda: None) == 1
