@@ -39,7 +39,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![0-9A-Za-z]))"
+    r"|(?P<hex>(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![0-9A-Za-z]))"
     r"|(?P<access>(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z]))"
     r"|(?P<intl>(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9]))"
@@ -121,8 +121,6 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         return refill(local, permute("".join(chars), classes, key, "email", back)) + "@" + domain
     if kind == "hex":
         low = text.lower()
-        if low.isdigit() or low.isalpha():
-            return None
         new = permute(low, ["0123456789abcdef"] * len(low), key, "hex", back)
         return new.upper() if text.isupper() else new
     if kind == "access":
@@ -190,6 +188,8 @@ def replace(text: str, key: bytes, known: dict[tuple[str, str], str | None]) ->
         kind, value = m.lastgroup, m[0]
         if kind in ("sep", "gap"):
             kind = "dmy" if kind == "sep" else "card"
+        if kind == "hex" and re.match("[A-F]{2}[0-9]{2}", value) and len(value) <= 34 and mod97(value) == 1:
+            kind = "iban"
         if (kind, value) not in known:
             known[kind, value] = pseudonym(kind, value, key)
         if (new := known[kind, value]) is None:
@@ -204,6 +204,7 @@ def replace(text: str, key: bytes, known: dict[tuple[str, str], str | None]) ->
     return "".join([*out, text[last:]]), found
 
 
+FOUND_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -249,7 +250,7 @@ def find(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, found) a row of docs: the text with pseudonyms, and (kind, start, end) of each
     value in the original text. Otherwise as pseudonymise."""
     slim = docs.select("doc_id", "text")
-    more = T.StructType([*slim.schema.fields, T.StructField("found", T._parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))])
+    more = T.StructType([*slim.schema.fields, T.StructField("found", FOUND_TYPE)])
     return slim.mapInArrow(_replacer(_key(docs.sparkSession, key), slim.columns, True), more)
 
 

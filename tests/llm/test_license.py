@@ -35,7 +35,7 @@ def test_against_regular_expressions():
         t, pattern = lic.compile_template(name, TEMPLATES[name]), spell(name)
         hits = 0
         for _ in range(400):
-            if name == "A" and rng.random() < 0.6:
+            if rng.random() < 0.6:
                 toks = ["use", *rng.choice([[], ["of", "this", "work"], ["of", "this", "fine", "work"], ["of", "work"]]), "is", "granted", "to", *[rng.choice(words) for _ in range(rng.randrange(5))], "free", "of", "charge"]
             else:
                 toks = [rng.choice(words) for _ in range(8)]
