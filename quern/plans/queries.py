@@ -63,8 +63,13 @@ def named_scores(term: str) -> str:
     return f"WITH {score_sql(f"SELECT '{term}' AS term, name AS content FROM ({NAMES})")}, scored AS (SELECT n.*, round(s.score, 9) AS score FROM ({NAMES}) n JOIN scores s ON s.b = lower(n.name))"
 
 
+def round_to(c: Column, digits: int) -> Column:
+    """Rounded in binary, halves away from zero, as DuckDB rounds a DOUBLE; Spark's own goes by way of decimals."""
+    return F.signum(c) * F.floor(F.abs(c) * 10.0**digits + 0.5) / 10.0**digits
+
+
 def rounded(df: DataFrame, column: str = "score", digits: int = 9) -> DataFrame:
-    return df.withColumn(column, F.round(column, digits))
+    return df.withColumn(column, round_to(F.col(column), digits))
 
 
 @query(f"WITH {score_sql(f"SELECT '{TERM}' AS term, p_name AS content FROM part")} SELECT p_partkey, p_name, round(score, 9) AS score FROM part JOIN scores ON b = lower(p_name)")
@@ -174,12 +179,12 @@ def docs_topk_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def l2_norm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", round_to(vectors.norm(F.col("embedding")), 6).alias("norm"))
 
 
 @query(f"SELECT vec_id, round(list_inner_product({Q0}, embedding::DOUBLE[]), 6) AS dot FROM embeddings")
 def dot_product(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.dot(vectors.vector(_first_vector(spark, d)), F.col("embedding")), 6).alias("dot"))
+    return table(spark, d, "embeddings").select("vec_id", round_to(vectors.dot(vectors.vector(_first_vector(spark, d)), F.col("embedding")), 6).alias("dot"))
 
 
 @query("SELECT vec_id, i::INTEGER AS dim, round((embedding[i + 1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE, 5) AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)")
@@ -348,7 +353,7 @@ def flatten_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS ord, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def vector_slices(spark: SparkSession, d: str) -> DataFrame:
     flat = vectors.flatten(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return vectors.unflatten(flat, "flat", 64).select("ord", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return vectors.unflatten(flat, "flat", 64).select("ord", round_to(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query("SELECT page_id, url || chr(10) || 'html, page' || chr(10) || substr(html, 1, 40) || chr(10) || chr(10) || '```html' || chr(10) || html || chr(10) || '```' || chr(10) AS chunk FROM pages")
