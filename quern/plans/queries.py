@@ -395,6 +395,50 @@ def next_id(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(table(spark, d, "lineitem").agg(F.max("l_orderkey").alias("b"))).select((F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))) + 1).alias("next_id"), "n_orders")
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, c_name AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def projection_with_path(spark: SparkSession, d: str) -> DataFrame:
+    """Orders without some columns and with their customer's name."""
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer"))
+    return table(spark, d, "orders").drop("o_orderdate", "o_orderpriority").join(names, "o_custkey", "left").drop("o_custkey")
+
+
+@query("SELECT s_suppkey, s_name, n_name AS nation, r_name AS region FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def value_texts(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    joined = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(r, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return joined.select("s_suppkey", "s_name", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'de ' || upper(p_name) ELSE p_name END AS name, p_brand AS brand FROM part")
+def localised_names(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    own = [base.where(F.col("id") % k == 0).select("id", F.lit(x).alias("locale"), F.concat(F.lit(f"{x} "), F.upper("name")).alias("name")) for k, x in ((3, "de"), (2, "fr"))]
+    return schema_json.localised(base, own[0].union(own[1]), "de", "id", ["name"])
+
+
+@query("SELECT n_name AS def_name, elem_name, key, type FROM nation, (VALUES ('IsActiveEntity', true, 'Boolean'), ('HasActiveEntity', false, 'Boolean'), ('HasDraftEntity', false, 'Boolean')) AS v(elem_name, key, type) WHERE n_nationkey % 2 = 0")
+def draft_elements(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.draft_elements(table(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("draft_enabled")))
+
+
+@query(f"WITH tok AS (SELECT unnest({PRE.format('text')}) AS word FROM documents), v AS (SELECT * FROM {VOCAB_SQL}) SELECT coalesce(id, {VOCAB['[UNK]']})::BIGINT AS id, count(*) AS n FROM tok LEFT JOIN v ON token = lower(word) GROUP BY 1")
+def vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    vocab = spark.createDataFrame(list(VOCAB.items()), "word string, id bigint")
+    words = table(spark, d, "documents").select(F.explode(text.pretokens(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
+    return words.join(F.broadcast(vocab), "word", "left").groupBy(F.coalesce("id", F.lit(VOCAB["[UNK]"]).cast("bigint")).alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, (i // 459)::INTEGER AS chunk_no, md5('[CLS] ' || array_to_string(list_append(w, '[SEP]'), ' ')) AS digest FROM (SELECT doc_id, i, CASE WHEN len(t) <= 510 THEN t ELSE t[i + 1:i + 509] END AS w FROM (SELECT doc_id, t, unnest(CASE WHEN len(t) <= 510 THEN [0] ELSE range(0, len(t), 459) END) AS i FROM (SELECT doc_id, {PRE.format('text')} AS t FROM documents)))")
+def marked_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(text.windows(text.pretokens(F.col("text")))).alias("chunk_no", "w"))
+    return w.select("doc_id", "chunk_no", F.md5(F.array_join(text.with_marks(F.col("w"), "[CLS]", "[SEP]"), " ")).alias("digest"))
+
+
+@query("SELECT kind, count(*) AS n, min(name) AS least FROM (" + NAMES + ") GROUP BY kind")
+def count_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return names(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.min("name").alias("least"))
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder for queries that write and read files of their own: the shared one on a cluster."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
