@@ -24,7 +24,7 @@ def score(a, b):
     return 1.0 if n == 0 else 1 - table_distance(a, b) / n
 
 
-WORDS = ["", "a", "Books", "books", "AdminService.Books", "CatalogService.Books", "é", "straße", "x" * 70, "sap.Authors", "ab" * 40]
+WORDS = ["", "a", "Books", "books", "AdminService.Books", "CatalogService.Books", "é", "straße", "x" * 70, "my.Authors", "ab" * 40]
 
 
 def test_columns_and_literals(spark):
@@ -50,7 +50,7 @@ def test_nulls(spark):
 
 
 def test_known_scores(spark):
-    names = ["AdminService.Books", "CatalogService.Books", "sap.capire.bookshop.Books"]
+    names = ["AdminService.Books", "CatalogService.Books", "org.sample.bookshop.Books"]
     d = spark.createDataFrame(list(enumerate(names)), "ord long, name string")
     got = search.fuzzy_top_n(d, "Books").collect()
     assert [(r.name, round(r.score, 4)) for r in got] == [(names[0], 0.6389), (names[1], 0.625), (names[2], 0.6)]
