@@ -59,7 +59,7 @@ class Powers:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 21)
+            n = max(n, 1 << 19)
             self.up, self.down = np.full(n, BASE, U), np.full(n, BASE_INVERSE, U)
             self.up[0] = self.down[0] = 1
             np.cumprod(self.up, out=self.up)

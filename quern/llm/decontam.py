@@ -22,6 +22,8 @@ from quern.llm._io import cut, id_and_text, table, without
 
 MIN_MATCH = 5
 COVERAGE = 0.5
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 19
 #: Characters of the benchmark up to which every task gets all of it; beyond, seeds are joined.
 BROADCAST_CHARS = 32 << 20
 RESULT = "doc_id long, item_id long, item_tokens int, covered_tokens int, coverage double, n_tiles int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
@@ -101,7 +103,7 @@ def _scan(ids: list[int], texts: list[str], m: int, least: float) -> Callable:
         bench, powers = Benchmark(ids, texts, m), Powers()
         for b in batches:
             rows: list[tuple] = []
-            for lo, _, data, at in pieces(b.column("text")):
+            for lo, _, data, at in pieces(b.column("text"), PIECE):
                 s, e, first = spans(data, at)
                 h = hashes(data, s, e, powers)
                 w, where = running(h, first, m, powers)
@@ -135,7 +137,7 @@ def _windows(m: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            for lo, _, data, at in pieces(b.column("text")):
+            for lo, _, data, at in pieces(b.column("text"), PIECE):
                 s, e, first = spans(data, at)
                 w, where = running(hashes(data, s, e, powers), first, m, powers)
                 row = lo + np.searchsorted(first, where, side="right") - 1

@@ -34,11 +34,13 @@ from quern.llm._io import broadcast_if_small, cut, fresh, id_and_text, repeats_i
 N = 3
 THRESHOLD = 0.6
 DEPTH = 4
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 19
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
 def _sets(batch: pa.RecordBatch, n: int, powers: Powers) -> Iterator[np.ndarray]:
-    for _, _, data, at in pieces(batch.column("text")):
+    for _, _, data, at in pieces(batch.column("text"), PIECE):
         s, e, first = spans(data, at)
         g, before = grams(hashes(data, s, e, powers), first, n)
         for lo, hi in zip(before[:-1], before[1:]):
@@ -80,7 +82,7 @@ def _packer(n: int) -> Callable:
             for k, g in enumerate(_sets(b, n, powers)):
                 held.append(g.tobytes())
                 room += len(held[-1])
-                if room > 1 << 22:
+                if room > 1 << 21:
                     yield pa.RecordBatch.from_arrays([ids[start : k + 1], pa.array(held, pa.binary())], names=["doc_id", "grams"])
                     held, start, room = [], k + 1, 0
             if held:

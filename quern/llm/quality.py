@@ -34,6 +34,8 @@ from quern.llm._io import cut, id_and_text, table, without
 
 BITS = 20
 SMOOTHING = 2.0
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 19
 SIGNIFICANCE = 2.5
 LOST = 3
 MAX_LABELLED = 50_000
@@ -56,7 +58,7 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def features(col: pa.Array, powers: Powers, bits: int = BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, buckets, buckets before each row) of the n-grams of each piece of a text column."""
-    for lo, _, data, at in pieces(col):
+    for lo, _, data, at in pieces(col, PIECE):
         s, e, first = _tokens(data, at)
         h = hashes(data, s, e, powers)
         after = np.zeros_like(h)
@@ -75,12 +77,12 @@ def _counter(bits: int) -> Callable:
             good = np.asarray(b.column("good").to_numpy(zero_copy_only=False), bool)
             for lo, buckets, before in features(b.column("text"), powers, bits):
                 row = np.repeat(np.arange(len(before) - 1), np.diff(before))
-                raw += np.bincount(buckets, minlength=size)
-                target += np.bincount(buckets[good[lo + row]], minlength=size)
-                once = np.unique(row << bits | buckets)
-                own = once & (size - 1)
-                docs += np.bincount(own, minlength=size)
-                target_docs += np.bincount(own[good[lo + (once >> bits)]], minlength=size)
+                once, n = np.unique(row << bits | buckets, return_counts=True)
+                own, where = good[lo + (once >> bits)], once & (size - 1)
+                np.add.at(raw, where, n)
+                np.add.at(docs, where, 1)
+                np.add.at(target, where[own], n[own])
+                np.add.at(target_docs, where[own], 1)
         k = np.flatnonzero(raw)
         for lo in range(0, len(k), 1 << 17):
             p = k[lo : lo + (1 << 17)]
