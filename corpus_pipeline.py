@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; run() writes every
 result as Parquet in the shared folder and reads it again as the next one's documents. All but
-the last return the columns of documents.
+the last return the columns of documents. The stages with Python in them bound the session's Arrow
+batches by bytes (see bounded_batches).
 """
 
 from __future__ import annotations
@@ -12,26 +13,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontam, mixing, ngram_join, pii, quality
-from quern.llm._io import cut, table
+from quern.llm._io import bounded_batches, cut, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
+    bounded_batches(spark)
     return quality.keep_sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
+    bounded_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that cover a benchmark item."""
+    bounded_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data as format-preserving pseudonyms."""
+    bounded_batches(spark)
     return pii.pseudonymise(docs)
 
 

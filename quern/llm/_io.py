@@ -31,6 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most so many bytes in this session, unless it has a setting of its own.
+    By default they have 10,000 rows whatever these hold, and a session that runs many stages
+    keeps buffers for the largest in every executor and worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again. A lost executor then costs one
     stage at most, and what follows doesn't run what came before again."""
