@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
         "spark.driver.memory": "4g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     }
-    session = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
