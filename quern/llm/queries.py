@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_chunks": media.op2,
     "op3_token_counts": token_counts.op3,
     "op4_line_dedup": substring.op4,
+    "op4_passage_dedup": substring.op4_passages,
     "op5_license_scan": license.op5,
     "op6_pii_pseudonyms": pii.op6,
     "op7_language_id": langid.op7,

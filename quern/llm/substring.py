@@ -11,6 +11,12 @@ and the letters from U+00C0 to U+00DE in lower case; other signs and white space
 equal units the one with the least (doc_id, place) stays, in all the corpus; the others go. Lines
 of fewer than MIN_WORDS words are left alone: two texts may well share "Thank you."
 
+With ``window`` above 0 passages without such signs are found as well: a run is a unit, too, from
+any anchor to the first anchor at least MIN_PASSAGE words later. Anchors are the words at which the
+hash of three words is the least of ``window`` neighbours in some stretch, so that equal texts have
+equal anchors whatever their signs: two copies of MIN_PASSAGE + 3 * window words or more always
+share a unit, and the words of a copy before its first and after its last anchor stay.
+
 Digests have 64 bits: among n units about n * n / 2**65 are taken for a copy that they aren't.
 """
 
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
+from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans
 from quern.llm._io import id_and_text, table
 
 MIN_WORDS = 8
 MIN_PASSAGE = 20
+#: Neighbouring hashes of three words of which the least is an anchor; 44 words always share a unit.
+WINDOW = 8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 STOP = np.zeros(256, bool)
@@ -60,7 +68,24 @@ def _between(at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(at, edge[:-1], side="right") - 1, edge[:-1], edge[1:]
 
 
-def _units(least: int, passage: int, paragraphs: bool) -> Callable:
+def _anchors(h: np.ndarray, before: np.ndarray, window: int) -> np.ndarray:
+    """The words, by number, that start the least hash of three words in some window of neighbours
+    within one text; of equal hashes the last counts. h: the words' hashes, before: as of spans."""
+    g, of = grams(h, before, 3)
+    n = len(g) - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least, at = g[:n].copy(), np.arange(n)
+    for k in range(1, window):
+        less = g[k : k + n] <= least
+        least[less] = g[k : k + n][less]
+        at[less] = np.flatnonzero(less) + k
+    row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    at = np.unique(at[row[:n] == row[window - 1 :]])
+    return at - of[row[at]] + before[row[at]]
+
+
+def _units(least: int, passage: int, paragraphs: bool, window: int) -> Callable:
     """(doc_id, span, h) of each unit. A unit that repeats one of the same piece can't be the first:
     it needs no comparison, has the complement of its span and a digest of its doc_id alone, so
     that the units of no digest pile up in one task."""
@@ -71,7 +96,7 @@ def _units(least: int, passage: int, paragraphs: bool) -> Callable:
             ids = b.column("doc_id").to_numpy()
             for lo, _, data, at in pieces(b.column("text")):
                 low = fold(data)
-                s, e, _ = spans(low, at)
+                s, e, before = spans(low, at)
                 h = hashes(low, s, e, powers)
                 powers.grow(len(h) + 1)
                 total = np.zeros(len(h) + 1, U)
@@ -90,6 +115,14 @@ def _units(least: int, passage: int, paragraphs: bool) -> Callable:
                 runs = (who[ok], start[ok], end[to[ok]], first[ok], last[to[ok]])
                 who, start, end, first, last = (np.r_[x, y] for x, y in zip(units, runs))
                 kind = np.r_[kind, np.ones(len(ok), U)]
+                if window:
+                    anchor = _anchors(h, before, window)
+                    owner, to = np.searchsorted(before, anchor, side="right") - 1, np.searchsorted(anchor, anchor + passage)
+                    ok = np.flatnonzero(to < len(anchor))
+                    ok = ok[owner[to[ok]] == owner[ok]]
+                    a, z = anchor[ok], anchor[to[ok]]
+                    who, start, end, first, last = (np.r_[x, y] for x, y in zip((who, start, end, first, last), (owner[ok], s[a], e[z - 1], a, z)))
+                    kind = np.r_[kind, np.full(len(ok), 1 << 40, U)]
                 digest = mix((total[last] - total[first]) * powers.down[first] + (last - first).astype(U) * U(2) + kind)
                 chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
                 base = chars[at[who]]
@@ -103,12 +136,12 @@ def _units(least: int, passage: int, paragraphs: bool) -> Callable:
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min_passage: int = MIN_PASSAGE) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min_passage: int = MIN_PASSAGE, window: int = 0) -> DataFrame:
     """(doc_id, start, end) of each stretch to remove, in characters of the original text, from 0:
     the units that aren't the first of their digest, and as one those that overlap or touch."""
     if unit not in ("line", "paragraph"):
         raise ValueError(f"unit is 'line' or 'paragraph', not {unit!r}")
-    units = id_and_text(docs).mapInArrow(_units(min_words, max(1, min_passage), unit == "paragraph"), "doc_id long, span long, h long")
+    units = id_and_text(docs).mapInArrow(_units(min_words, max(1, min_passage), unit == "paragraph", window), "doc_id long, span long, h long")
     order = Window.partitionBy("h").orderBy(F.col("span") < 0, "doc_id", "span")
     gone = units.withColumn("n", F.row_number().over(order)).where("n > 1 or span < 0")
     span = F.when(F.col("span") < 0, -F.col("span") - 1).otherwise(F.col("span"))
@@ -119,16 +152,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min
     return gone.withColumn("apart", apart).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min_passage: int = MIN_PASSAGE) -> DataFrame:
+def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min_passage: int = MIN_PASSAGE, window: int = 0) -> DataFrame:
     """(doc_id, text, n_removed, removed) a document: the text that is left and the removed
     (start, end) in the original, in order. A line goes with its line feed, a paragraph with the
-    blank line after it, a passage with the sign at its end.
+    blank line after it, a passage with the sign at its end or, if an anchor ends it, up to the end
+    of its last word.
 
     Null text counts as empty and gives ''. Rows with a null doc_id are left out, rows that share
     one are one document with the least of their texts. Repeats within one document go like any
     other. Documents without repeats come back as they are. Other columns don't matter.
     """
-    gone = repeats(docs, min_words, unit, min_passage).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    gone = repeats(docs, min_words, unit, min_passage, window).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     joined = id_and_text(docs).join(gone, "doc_id", "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["end"]))
     starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.length("text").cast("long")))
@@ -138,7 +172,15 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line",
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As dedup_units of documents, the removed stretches written as 'start-end' lists so that SQL gives the same."""
-    found = dedup_units(table(spark, sf_dir, "documents"))
+    return _as_text(dedup_units(table(spark, sf_dir, "documents")))
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4, and what it leaves: passages whatever their signs. There is no SQL for the anchors."""
+    return _as_text(dedup_units(table(spark, sf_dir, "documents"), window=WINDOW))
+
+
+def _as_text(found: DataFrame) -> DataFrame:
     spans_text = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return found.withColumn("removed", spans_text)
 

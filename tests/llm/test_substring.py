@@ -90,3 +90,42 @@ def test_messy(spark):
     assert substring.dedup_units(messy.docs(spark).limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring.dedup_units(messy.docs(spark), unit="word")
+
+
+def cut_words(text, removed):
+    """(word, whether it is cut) in order."""
+    return [(m[0].lower(), any(a <= m.start() and m.end() <= z for a, z in removed)) for m in re.finditer(r"\w+", text)]
+
+
+def test_passages_without_signs(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [say(n) for n in (44, 51, 60, 200)]
+    texts = [say(rng.randrange(40)) + " " + p + " " + say(rng.randrange(40)) for p in passages * 3] + ["", say(5), say(300)]
+    d = messy.table(spark, *texts)
+    assert all(r.n_removed == 0 for r in substring.dedup_units(d).collect())
+    rows = {r.doc_id: r for r in substring.dedup_units(d, window=substring.WINDOW).collect()}
+    for i, t in enumerate(texts):
+        words = cut_words(t, [tuple(x) for x in rows[i].removed])
+        held = " ".join(w for w, gone in words if gone)
+        if i < len(passages) or i >= 3 * len(passages):
+            assert rows[i].n_removed == 0 and rows[i].text == t
+        else:
+            p = passages[i % len(passages)]
+            assert held in p and len(held.split()) >= len(p.split()) - 2 * substring.WINDOW - 8 and rows[i].n_removed == 1
+
+
+def test_passages_take_all_that_lines_take_and_repeats_alone(spark):
+    held = texts(11)
+    d = spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    less = {r.doc_id: {k for a, z in r.removed for k in range(a, z)} for r in substring.dedup_units(d).collect()}
+    more = {r.doc_id: {k for a, z in r.removed for k in range(a, z)} for r in substring.dedup_units(d, window=substring.WINDOW).collect()}
+    assert all(less[i] <= more[i] for i in held) and less != more
+    seen = {}
+    words = {i: [(m.start(), m[0]) for m in WORD.finditer(t.lower())] for i, t in held.items()}
+    for i, w in words.items():
+        for k in range(len(w) - 19):
+            seen.setdefault(tuple(x for _, x in w[k : k + 20]), []).append((i, k))
+    for i, w in words.items():
+        fair = {k + j for places in seen.values() if len(places) > 1 for o, k in places if o == i and (o, k) != min(places) for j in range(20)}
+        assert all(k in fair for k, (at, _) in enumerate(w) if at in more[i] - less[i])
