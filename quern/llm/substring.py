@@ -9,7 +9,8 @@ the words before its first and after its last such sign.
 A unit's digest is over its normalised words: runs of letters, digits and underscores, with A-Z
 and the letters from U+00C0 to U+00DE in lower case; other signs and white space don't count. Of
 equal units the one with the least (doc_id, place) stays, in all the corpus; the others go. Lines
-of fewer than MIN_WORDS words are left alone: two texts may well share "Thank you."
+of fewer than ``min_words`` words are left alone: two texts may well share "Thank you." op4 leaves
+them below MIN_WORDS, as its SQL does; op4_passages takes every line with a word.
 
 With ``window`` above 0 passages without such signs are found as well: a run is a unit, too, from
 any anchor to the first anchor at least MIN_PASSAGE words later. Anchors are the words at which the
@@ -176,8 +177,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op4, and what it leaves: passages whatever their signs. There is no SQL for the anchors."""
-    return _as_text(dedup_units(table(spark, sf_dir, "documents"), window=WINDOW))
+    """As op4, and what it leaves: passages whatever their signs, and lines of any word at all. There
+    is no SQL for the anchors."""
+    return _as_text(dedup_units(table(spark, sf_dir, "documents"), min_words=1, window=WINDOW))
 
 
 def _as_text(found: DataFrame) -> DataFrame:

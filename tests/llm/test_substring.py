@@ -129,3 +129,10 @@ def test_passages_take_all_that_lines_take_and_repeats_alone(spark):
     for i, w in words.items():
         fair = {k + j for places in seen.values() if len(places) > 1 for o, k in places if o == i and (o, k) != min(places) for j in range(20)}
         assert all(k in fair for k, (at, _) in enumerate(w) if at in more[i] - less[i])
+
+
+def test_short_lines_that_repeat(spark, tmp_path):
+    held = ["Of edti oner.\nalone here", "one\nOf EDTI oner\n...\ntwo", "And ornd.\n...\nthree", "four\nAnd ornd."]
+    messy.table(spark, *held).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.removed) for r in substring.op4_passages(spark, str(tmp_path)).collect()}
+    assert got == {0: (held[0], ""), 1: ("one\n...\ntwo", "4-17"), 2: (held[2], ""), 3: ("four\n", "5-14")}
