@@ -145,6 +145,14 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, dep
     return across.union(inside)
 
 
+def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
+    """As jaccard_pairs, but documents with the same set have a pair each with the least of them
+    alone, at 1.0, and only that one is in pairs with other sets: all pairs follow from these."""
+    signed = signatures(docs, n, threshold, depth)
+    found = _verify(candidates(signed), docs, signed, n, threshold)
+    return found.union(signed.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")))
+
+
 def jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
     """(doc_id, group_id, group_size) of each document with a partner: the connected components of
     the pairs at the threshold or above; group_id is the least doc_id in it.
@@ -183,3 +191,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: i
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join's own result, (a, b, jaccard); op9 gives its groups."""
+    return set_pairs(table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": langid.op7,
     "op8_quality_resampling": quality.op8,
     "op9_ngram_jaccard_join": ngram_join.op9,
+    "op9_jaccard_pairs": ngram_join.op9_pairs,
     "op10_benchmark_decontamination": decontam.op10,
     "pipeline": corpus_pipeline.run,
 }

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from importlib import import_module
 
 import messy
 import pytest
@@ -99,3 +100,20 @@ def test_messy(spark):
     assert ids.count(None) == 2 and sorted(i for i in ids if i) == [1, 3, 4, 5, 6, 7, 8, 9]
     none = d.limit(0)
     assert ngram_join.jaccard_groups(none).count() == ngram_join.jaccard_pairs(none).count() == ngram_join.keep_one(none).count() == 0
+
+
+def test_query_of_pairs(spark, sf):
+    """Every pair is right, and with the documents of equal sets all but a few pairs follow from them."""
+    held = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = brute(held)
+    found = import_module("__spark_entry__").queries()["op9_jaccard_pairs"](spark, sf)
+    assert found.columns == ["a", "b", "jaccard"]
+    got = {(r.a, r.b): r.jaccard for r in found.collect()}
+    least = {}
+    for i, g in sorted((i, g) for i, t in held.items() if (g := grams(t))):
+        least.setdefault(frozenset(g), i)
+    rep = {i: least[frozenset(g)] for i, t in held.items() if (g := grams(t))}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert all(got[i, r] == 1 for i, r in rep.items() if i != r)
+    follow = {(a, b) for a, b in want if rep[a] == rep[b] or (max(rep[a], rep[b]), min(rep[a], rep[b])) in got}
+    assert len(follow) >= 0.95 * len(want) > 10 and all(rep[a] == b or rep[a] == a and rep[b] == b for a, b in got)
