@@ -84,11 +84,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(ids.toDF(name)), docs["doc_id"] == F.col(name), "left_anti")
 
 
-def id_and_text(docs: DataFrame, text: Column | str = "text") -> DataFrame:
+def id_and_text(docs: DataFrame, text: Column | str = "text", nulls_last: bool = False) -> DataFrame:
     """doc_id and text alone, text null as ''. Rows without a doc_id go. Rows that share a doc_id
-    count as one document, with the least of their texts."""
+    count as one document, with the least of their texts; nulls_last: of those that aren't null or
+    empty, if there are any."""
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string").alias("text"))
-    return slim.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats_ids(docs) else slim
+    least = F.coalesce(F.min(F.nullif("text", F.lit(""))), F.lit("")) if nulls_last else F.min("text")
+    return slim.groupBy("doc_id").agg(least.alias("text")) if repeats_ids(docs) else slim
+
+
+def id_and_texts(docs: DataFrame, text: Column | str = "text") -> DataFrame:
+    """As id_and_text, but with a row for each different text of the rows that share a doc_id."""
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string").alias("text"))
+    return slim.distinct() if repeats_ids(docs) else slim
 
 
 def repeats_ids(docs: DataFrame) -> bool:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
-from quern.llm._io import cut, id_and_text, table, without
+from quern.llm._io import cut, id_and_text, id_and_texts, repeats_ids, table, without
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -162,18 +162,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 
     An item with fewer than min_match tokens, a null or empty one too, matches nothing, and so
     does such a document. Items with the same text each give their row. Rows with a null doc_id
-    or item_id give none; rows that share an id are one, with the least text. Either table may be
-    empty; other columns don't matter.
+    or item_id give none. Of rows that share a doc_id each text is compared, and the one that covers
+    most of the item gives the row; items that share an id are one, with the least text. Either
+    table may be empty; other columns don't matter.
     """
-    slim = id_and_text(docs, F.lower("text"))
+    slim = id_and_texts(docs, F.lower("text"))
     items = id_and_text(benchmark.select(F.col("item_id").alias("doc_id"), "text"), F.lower("text")).withColumnsRenamed({"doc_id": "item_id", "text": "item"})
     if (items.agg(F.sum(F.length("item"))).first()[0] or 0) <= broadcast_chars:
         held = items.orderBy("item_id").collect()
-        return slim.mapInArrow(_scan([r.item_id for r in held], [r.item for r in held], min_match, coverage), RESULT)
+        return _best(docs, slim.mapInArrow(_scan([r.item_id for r in held], [r.item for r in held], min_match, coverage), RESULT))
     own = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(min_match), "id long, w long").select(F.col("id").alias("item_id"), "w").distinct()
     theirs = slim.select(F.col("doc_id").alias("id"), "text").mapInArrow(_windows(min_match), "id long, w long").select(F.col("id").alias("doc_id"), "w")
     shared = cut(theirs.join(own, "w").select("doc_id", "item_id").distinct())
-    return shared.join(items, "item_id").join(slim, "doc_id").mapInArrow(_pairs(min_match, coverage), RESULT)
+    return _best(docs, shared.join(items, "item_id").join(slim, "doc_id").mapInArrow(_pairs(min_match, coverage), RESULT))
+
+
+def _best(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """A row a document and item: the one with the most covered tokens, if rows of docs share a doc_id."""
+    if not repeats_ids(docs):
+        return found
+    rest = ["covered_tokens", "n_tiles", "tiles", "item_tokens", "coverage"]
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*rest)).alias("most")).select("doc_id", "item_id", "most.*").select(found.columns)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:

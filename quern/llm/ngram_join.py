@@ -106,7 +106,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: int = DEPTH) -> DataFrame:
     """A row a document with any token: doc_id, the size of its set, rep (the least doc_id with the
     same set) and its join keys. Written in the shared folder."""
-    slim = id_and_text(docs, F.lower("text"))
+    slim = id_and_text(docs, F.lower("text"), nulls_last=True)
     signed = slim.mapInArrow(_signer(n, threshold, depth), "doc_id long, size int, h1 long, h2 long, keys array<long>")
     same = Window.partitionBy("size", "h1", "h2")
     return cut(signed.where("size > 0").withColumn("rep", F.min("doc_id").over(same)).drop("h1", "h2"))
@@ -119,7 +119,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, signed: DataFrame, n: int, thresh
         pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("size").alias(f"n{side}")), side)
     pairs = cut(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9).select("a", "b"))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = id_and_text(docs, F.lower("text")).join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_packer(n), "doc_id long, grams binary")
+    sets = id_and_text(docs, F.lower("text"), nulls_last=True).join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_packer(n), "doc_id long, grams binary")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_measure, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
 
@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, depth: i
     gone = cut(jaccard_groups(docs, n, threshold, depth).where("doc_id <> group_id").select("doc_id"))
     if repeats_ids(docs):
         row = fresh(docs, "_row")
-        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.nullif("text", F.lit("")).asc_nulls_last()))
         docs = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), number).otherwise(1)).where(F.col(row) == 1).drop(row)
     return without(docs, gone)
 

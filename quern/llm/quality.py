@@ -174,11 +174,12 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_l
 
     share: of documents with any token, to keep; None finds k by the labelled documents. Null,
     empty and blank texts have no n-grams and are never sampled; rows with a null doc_id aren't
-    either, and rows that share one are one document. Without any good label there is no target,
+    either, and rows that share one are one document, with the least of their texts that isn't null
+    or empty. Without any good label there is no target,
     and all documents with a token are kept with log_weight 0. Ties at the cut go to the least
     doc_id if share is given and are kept otherwise. Other columns don't matter.
     """
-    slim = id_and_text(docs)
+    slim = id_and_text(docs, nulls_last=True)
     labelled = cut(chosen(labels, max_labelled))
     model = fit(slim, labelled)
     held = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << BITS, np.float32) if model is None else model)

@@ -3,7 +3,7 @@ import re
 
 import messy
 
-from quern.llm import decontam
+from quern.llm import decontam, ngram_join, quality
 
 TOKEN = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
 
@@ -104,3 +104,20 @@ def test_messy(spark):
     assert left.columns == d.columns and messy.kept(left) == sorted(x for x in messy.kept(d) if not x.startswith(("(1,", "(2,")))
     assert decontam.contamination(d.limit(0), items).count() == decontam.contamination(d, items.limit(0)).count() == 0
     assert decontam.drop_contaminated(d, items.limit(0)).count() == d.count()
+
+
+def test_every_text_of_a_repeated_id_is_judged(spark):
+    item = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, None), (1, f"zz {item}"), (2, "a plain text"), (2, f"b {item}"), (2, "b one two three four five"), (3, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for chars in (decontam.BROADCAST_CHARS, 0):
+        assert sorted((r.doc_id, r.item_id, r.covered_tokens) for r in decontam.contamination(d, b, broadcast_chars=chars).collect()) == [(1, 7, 10), (2, 7, 10)]
+    assert [r.doc_id for r in decontam.drop_contaminated(d, b).collect()] == [3]
+
+
+def test_a_null_row_does_not_stand_for_its_document(spark):
+    text = "a long and clean text of some words that are all its own"
+    d = spark.createDataFrame([(1, None), (1, text), (2, ""), (2, text + " indeed")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in quality.keep_sampled(d, labels).collect()) == [1, 1, 2, 2]
+    assert [(r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()] == [(1, text)]
