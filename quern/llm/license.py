@@ -108,7 +108,7 @@ def compile_template(name: str, source: str) -> Template:
             args = dict(re.findall(r';(\w+)="([^"]*)"', m[2]))
             pattern = args.get("match", ".*")
             most = int(n[1]) if (n := re.fullmatch(r"\.\{\d+,(\d+)\}", pattern)) else MOST_TOKENS
-            t.program.append(("open", args.get("name", ""), re.compile(pattern, re.S), min(most, MOST_TOKENS)))
+            t.program.append(("open", args.get("name", ""), re.compile(pattern, re.S), most))
             t.program.append(("any",))
     words(source[at:])
     if stack or not t.mandatory:

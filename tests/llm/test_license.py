@@ -104,3 +104,11 @@ def test_messy(spark):
     rows = lic.find_licenses(d).collect()
     assert sorted((r.doc_id or 0, r.license) for r in rows) == [(0, "MIT-notice"), (30, "MIT-notice"), (30, "MIT-notice"), (31, "MIT-notice")]
     assert lic.find_licenses(d, {}).count() == lic.find_licenses(d.limit(0)).count() == 0
+
+
+def test_a_pattern_has_its_own_bound():
+    t = [lic.compile_template("x", 'granted to <<var;name="who";original="x";match=".{0,5000}">> free of charge')]
+    for n in (10, 61, 300):
+        names = " ".join(f"n{k}" for k in range(n))
+        assert [f["parts"][0]["end"] for f in lic.scan(f"granted to {names} free of charge", t)] == [11 + len(names)], n
+    assert not lic.scan("granted to " + "n" * 5001 + " free of charge", t)
