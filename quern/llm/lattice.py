@@ -250,11 +250,11 @@ def forward_one(word: str, vocab: dict[str, int], logp: np.ndarray, longest: int
 
 def expected(sorted_words: list[str], counts: np.ndarray, vocab: Vocabulary, logp: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, and of a byte in the last row, over all segmentations of words
-    with counts in each model (a row a word, a column a model). Longer words than LONG are left out."""
+    with counts in each model (a row a word, a column a model). Words longer than LONG go one by one."""
     models, powers, out = logp.shape[1], Powers(), np.zeros_like(logp)
     short = np.array([i for i, w in enumerate(sorted_words) if len(w) <= LONG], np.int64)
-    for lo in range(0, len(short), BLOCK):
-        own = short[lo : lo + BLOCK]
+    blocks = [short[lo : lo + BLOCK] for lo in range(0, len(short), BLOCK)]
+    for own in blocks + [np.array([i]) for i, w in enumerate(sorted_words) if len(w) > LONG]:
         steps = edges([sorted_words[i] for i in own], vocab, powers, False)
         (length,) = next(steps)
         held, alpha = [], [np.zeros((len(own), models))]

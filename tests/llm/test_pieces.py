@@ -119,3 +119,16 @@ def test_languages_messy(spark):
     assert {rows[i].lang for i in (1, 2, 6, 7, 8, 9)} <= {"en", "de"}
     assert langid.identify(d.limit(0)).count() == 0
     assert {r.lang for r in langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
+
+
+def test_long_words_count_in_the_fit(monkeypatch):
+    words = [*some_words(), "▁" + "abébx" * 20]
+    counts = np.ones((len(words), 2))
+    logp = np.repeat(np.append(lattice.zipf(SMALL.size), -9.0)[:, None], 2, axis=1)
+    whole = lattice.expected(words, counts, SMALL, logp)
+    size = np.array([len(t) for t in SMALL.texts] + [0])
+    alone = lattice.expected(words[-1:], counts[:1], SMALL, logp)
+    assert np.allclose(size @ alone + alone[-1], len(words[-1]))
+    assert np.allclose(whole - lattice.expected(words[:-1], counts[:-1], SMALL, logp), alone)
+    monkeypatch.setattr(lattice, "LONG", 3)
+    assert np.allclose(lattice.expected(words, counts, SMALL, logp), whole)
