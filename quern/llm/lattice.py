@@ -4,7 +4,9 @@ A pre-token is U+2581 and a run of bytes without ASCII white space. The distinct
 batch, sorted, are the leaves of a trie whose nodes are their prefixes: a prefix is new where it is
 longer than what a word shares with the word before. Depth by depth all new prefixes get their
 value at once, from the values of the prefixes that end before a last piece; a prefix that many
-words share is worked out once. Pieces are found by the running hash of their characters.
+words share is worked out once. Pieces are found by the running hash of their characters, for
+many depths at once where few words go on, so that a word may have any length: text without white
+space is one word, and costs time in proportion to its characters.
 A character outside the vocabulary is spelled in UTF-8 bytes, each a piece of its own.
 """
 
@@ -22,9 +24,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SOLID = np.ones(256, bool)
 SOLID[[*b"\t\n\v\f\r "]] = False
-BLOCK = 1 << 15
-#: Longer words go one by one, so that depth, and with it the arrays, stay small.
-LONG = 64
+#: Characters of words that are walked at once (one word may have more), and positions whose pieces are found at once.
+BLOCK = 1 << 18
+AHEAD = 1 << 16
 #: What a byte of a character outside the vocabulary costs below the rarest piece.
 BYTE_PENALTY = 10.0
 
@@ -118,37 +120,92 @@ def words(col: pa.Array, powers: Powers) -> tuple[list[str], np.ndarray, np.ndar
     return [texts[i] for i in order], rank[found], np.concatenate(rows)
 
 
-def edges(sorted_words: list[str], vocab: Vocabulary, powers: Powers, share: bool = True) -> Iterator[tuple]:
-    """The lattice of sorted words of at most LONG characters, depth by depth: first (lengths,),
-    then for each depth d (d, new, leader, [(k, rows, ids)], [(rows, bytes)]). new: the words
-    whose prefix of d characters is a new trie node; leader: for each word the one whose node it
-    shares; then the pieces of k characters that end there, and characters outside the vocabulary.
-    share: False treats every word by itself."""
-    points = np.frombuffer("".join(sorted_words).encode("utf-32-le"), np.uint32)
+def blocks(sorted_words: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """(first word, word after the last) of blocks of about size characters, or of one word."""
+    end = np.cumsum(np.fromiter(map(len, sorted_words), np.int64, len(sorted_words)))
+    lo = 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + size, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+@dataclass
+class Stretch:
+    """The lattice between two depths. keep: the words, by their place among those of the stretch
+    before, that go on. Nodes (new prefixes) are sorted by depth and have an edge for each piece
+    that ends there, the shortest first; ids is the piece, or -1 - bytes for a character outside
+    the vocabulary. at and first: nodes before each depth, edges before each node."""
+
+    depth: int
+    keep: np.ndarray
+    word: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    ids: np.ndarray
+    #: For each depth, the words that share a node and the words whose node it is.
+    shared: list[tuple[np.ndarray, np.ndarray]]
+
+
+def shared_prefixes(sorted_words: list[str]) -> np.ndarray:
+    """How many characters each word has in common with the word before."""
+    out = np.zeros(len(sorted_words), np.int64)
+    for i in range(1, len(sorted_words)):
+        a, b = sorted_words[i - 1], sorted_words[i]
+        n = 0
+        if a[:8] == b[:8]:
+            lo, hi = 0, min(len(a), len(b))
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+            n = lo
+        else:
+            for x, y in zip(a, b):
+                if x != y:
+                    break
+                n += 1
+        out[i] = n
+    return out
+
+
+def stretches(sorted_words: list[str], vocab: Vocabulary, powers: Powers, share: bool = True) -> Iterator[Stretch]:
+    """The lattice of sorted words, from depth 1 on; share: False treats every word by itself."""
+    points = np.frombuffer("".join(sorted_words).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, sorted_words), np.int64, len(sorted_words))
     off = np.cumsum(size) - size
-    total = text_hash(points, powers)
-    yield (size,)
-    alike = np.full(len(size), share)
-    alike[:1] = False
-    for d in range(1, int(size.max(initial=0)) + 1):
-        has = size >= d
-        c = np.zeros(len(size), np.uint32)
-        c[has] = points[off[has] + d - 1]
-        alike[1:] &= has[1:] & has[:-1] & (c[1:] == c[:-1])
-        new = np.flatnonzero(has & ~alike)
-        leader = np.zeros(len(size), np.int64)
-        leader[new] = new
-        np.maximum.accumulate(leader, out=leader)
-        at, found, lone = off[new] + d, [], new[:0]
-        for k in range(1, min(d, vocab.longest) + 1):
-            ids = vocab.find(mix((total[at] - total[at - k]) * powers.down[at - k]))
-            hit = ids >= 0
-            found.append((k, new[hit], ids[hit]))
-            if k == 1:
-                lone = new[~hit]
-        p = points[off[lone] + d - 1].astype(np.int64)
-        yield d, new, leader, found, [(lone, 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000))]
+    total, back = text_hash(points, powers), np.arange(vocab.longest)
+    alike = shared_prefixes(sorted_words) if share else np.zeros(len(size), np.int64)
+    d, lanes = 1, np.arange(len(size))
+    while len(keep := np.flatnonzero(size[lanes] >= d)):
+        if len(keep) < len(lanes):
+            # What two words share that were no neighbours is the least along the way between them.
+            alike, lanes = np.minimum.reduceat(alike[: keep[-1] + 1], np.r_[0, keep[:-1] + 1]), lanes[keep]
+        far = min(max(1, AHEAD // len(lanes)), int(size[lanes].max()) + 1 - d)
+        begin, stop = np.maximum(d, alike + 1), np.minimum(d + far, size[lanes] + 1)
+        n = np.maximum(stop - begin, 0)
+        word = np.repeat(np.arange(len(lanes)), n)
+        depth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        order = np.argsort(depth, kind="stable")
+        word, depth = word[order], depth[order]
+        end = off[lanes[word]] + depth
+        start = np.maximum(end[:, None] - 1 - back, 0)
+        ids = vocab.find(mix((total[end][:, None] - total[start]) * powers.down[start]))
+        ids[back >= depth[:, None]] = -1
+        hit = ids >= 0
+        lone = ~hit[:, 0]
+        p = points[end[lone] - 1]
+        ids[lone, 0] = -2 - (p >= 0x80).astype(np.int32) - (p >= 0x800) - (p >= 0x10000)
+        hit[:, 0] = True
+        node, k = np.nonzero(hit)
+        shared, pool = [], np.flatnonzero(alike >= d)
+        for x in range(d, d + far):
+            if len(pool):
+                pool = pool[alike[pool] >= x]
+            lead = np.maximum.accumulate(np.where(alike < x, np.arange(len(lanes)), 0))[pool] if len(pool) else pool
+            shared.append((pool, lead))
+        yield Stretch(d, keep, word, np.searchsorted(depth, np.arange(d, d + far + 1)), np.searchsorted(node, np.arange(len(word) + 1)), k + 1, ids[node, k], shared)
+        d += far
 
 
 def zipf(n: int) -> np.ndarray:
@@ -157,130 +214,110 @@ def zipf(n: int) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def best_one(word: str, vocab: dict[str, int], score: np.ndarray, byte: float, longest: int) -> tuple[float, int]:
-    """Score and pieces of the best segmentation of one word; of equal scores, the fewest pieces."""
-    best = [(0.0, 0)]
-    for d in range(1, len(word) + 1):
-        top = (-np.inf, 0)
-        for k in range(1, min(d, longest) + 1):
-            before = best[d - k] if k <= d else None
-            if (i := vocab.get(word[d - k : d])) is not None:
-                new = (before[0] + score[i], before[1] + 1)
-            elif k == 1:
-                n = len(word[d - 1].encode("utf-8", "surrogatepass"))
-                new = (before[0] + n * byte, before[1] + n)
-            else:
-                continue
-            if new[0] > top[0] or new[0] == top[0] and new[1] < top[1]:
-                top = new
-        best.append(top)
-    return best[-1]
+def _log_weights(ids: np.ndarray, score: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Of each edge; the spelling of a character costs byte for each of its bytes."""
+    w = score[np.maximum(ids, 0)]
+    alone = np.flatnonzero(ids < 0)
+    w[alone] = np.multiply.outer(-1.0 - ids[alone], byte)
+    return w
 
 
 def viterbi(sorted_words: list[str], vocab: Vocabulary, score: np.ndarray, share: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Score and number of pieces of the best segmentation of each word."""
-    byte, powers = float(score.min()) - BYTE_PENALTY, Powers()
+    """Score and number of pieces of the best segmentation of each word; of equal scores, the fewest pieces."""
+    byte, powers, long = np.float64(score.min()) - BYTE_PENALTY, Powers(), vocab.longest
     out, count = np.zeros(len(sorted_words)), np.zeros(len(sorted_words), np.int64)
-    size = np.fromiter(map(len, sorted_words), np.int64, len(sorted_words))
-    if (size > LONG).any():
-        by_text = {t: i for i, t in enumerate(vocab.texts)}
-        for i in np.flatnonzero(size > LONG):
-            out[i], count[i] = best_one(sorted_words[i], by_text, score, byte, vocab.longest)
-    short = np.flatnonzero(size <= LONG)
-    for lo in range(0, len(short), BLOCK):
-        own = short[lo : lo + BLOCK]
-        steps = edges([sorted_words[i] for i in own], vocab, powers, share)
-        (length,) = next(steps)
-        ring = {0: (np.zeros(len(own)), np.zeros(len(own), np.int32))}
-        for d, new, leader, found, lone in steps:
-            v, n = np.full(len(own), -np.inf), np.zeros(len(own), np.int32)
-            for rows, size_b in lone:
-                v[rows], n[rows] = ring[d - 1][0][rows] + byte * size_b, ring[d - 1][1][rows] + size_b
-            for k, rows, ids in found:
-                v0, n0 = ring[d - k][0][rows] + score[ids], ring[d - k][1][rows] + 1
-                better = (v0 > v[rows]) | ((v0 == v[rows]) & (n0 < n[rows]))
-                v[rows[better]], n[rows[better]] = v0[better], n0[better]
-            ring[d] = v[leader], n[leader]
-            ring.pop(d - vocab.longest, None)
-            end = np.flatnonzero(length == d)
-            out[own[end]], count[own[end]] = ring[d][0][end], ring[d][1][end]
+    for lo, hi in blocks(sorted_words, BLOCK):
+        size = np.fromiter(map(len, sorted_words[lo:hi]), np.int64, hi - lo)
+        live, v, n = np.arange(hi - lo), np.zeros((long, hi - lo)), np.zeros((long, hi - lo), np.int64)
+        for s in stretches(sorted_words[lo:hi], vocab, powers, share):
+            if len(s.keep) < len(live):
+                live, v, n = live[s.keep], v[:, s.keep], n[:, s.keep]
+            w, more = _log_weights(s.ids, score, byte), np.where(s.ids < 0, -1 - s.ids, 1)
+            nodes = np.diff(s.first)
+            lane = np.repeat(s.word, nodes)
+            for x in range(len(s.at) - 1):
+                d, a, z = s.depth + x, s.at[x], s.at[x + 1]
+                to = d % long
+                if a < z:
+                    e, f = s.first[a], s.first[z]
+                    row, of = (d - s.length[e:f]) % long, lane[e:f]
+                    first = s.first[a:z] - e
+                    each, uses = v[row, of] + w[e:f], n[row, of] + more[e:f]
+                    best = np.maximum.reduceat(each, first)
+                    v[to, s.word[a:z]] = best
+                    n[to, s.word[a:z]] = np.minimum.reduceat(np.where(each == np.repeat(best, nodes[a:z]), uses, 1 << 62), first)
+                same, lead = s.shared[x]
+                if len(same):
+                    v[to, same], n[to, same] = v[to, lead], n[to, lead]
+                done = np.flatnonzero(size[live] == d)
+                if len(done):
+                    out[lo + live[done]], count[lo + live[done]] = v[to, done], n[to, done]
     return out, count
 
 
+def _sum(each: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Logs of the sums over each node's edges."""
+    top = np.maximum.reduceat(each, first)
+    return top + np.log(np.add.reduceat(np.exp(each - np.repeat(top, sizes, axis=0)), first))
+
+
 def forward(sorted_words: list[str], vocab: Vocabulary, logp: np.ndarray, share: bool = True) -> np.ndarray:
     """Log probability of each word, summed over all its segmentations, in each of the models:
     logp has a column a model, and a last row for a byte."""
-    models, powers = logp.shape[1], Powers()
+    models, powers, long = logp.shape[1], Powers(), vocab.longest
     out = np.zeros((len(sorted_words), models))
-    size = np.fromiter(map(len, sorted_words), np.int64, len(sorted_words))
-    if (size > LONG).any():
-        by_text = {t: i for i, t in enumerate(vocab.texts)}
-        for i in np.flatnonzero(size > LONG):
-            out[i] = forward_one(sorted_words[i], by_text, logp, vocab.longest)
-    short = np.flatnonzero(size <= LONG)
-    for lo in range(0, len(short), BLOCK):
-        own = short[lo : lo + BLOCK]
-        steps = edges([sorted_words[i] for i in own], vocab, powers, share)
-        (length,) = next(steps)
-        ring = {0: np.zeros((len(own), models))}
-        for d, new, leader, found, lone in steps:
-            a = np.full((len(own), models), -np.inf)
-            for rows, size_b in lone:
-                a[rows] = ring[d - 1][rows] + logp[-1] * size_b[:, None]
-            for k, rows, ids in found:
-                a[rows] = np.logaddexp(a[rows], ring[d - k][rows] + logp[ids])
-            ring[d] = a[leader]
-            ring.pop(d - vocab.longest, None)
-            end = np.flatnonzero(length == d)
-            out[own[end]] = ring[d][end]
+    for lo, hi in blocks(sorted_words, BLOCK):
+        size = np.fromiter(map(len, sorted_words[lo:hi]), np.int64, hi - lo)
+        live, v = np.arange(hi - lo), np.zeros((long, hi - lo, models))
+        for s in stretches(sorted_words[lo:hi], vocab, powers, share):
+            if len(s.keep) < len(live):
+                live, v = live[s.keep], v[:, s.keep]
+            w, nodes = _log_weights(s.ids, logp, logp[-1]), np.diff(s.first)
+            lane = np.repeat(s.word, nodes)
+            for x in range(len(s.at) - 1):
+                d, a, z = s.depth + x, s.at[x], s.at[x + 1]
+                to = d % long
+                if a < z:
+                    e, f = s.first[a], s.first[z]
+                    v[to, s.word[a:z]] = _sum(v[(d - s.length[e:f]) % long, lane[e:f]] + w[e:f], s.first[a:z] - e, nodes[a:z])
+                same, lead = s.shared[x]
+                if len(same):
+                    v[to, same] = v[to, lead]
+                done = np.flatnonzero(size[live] == d)
+                if len(done):
+                    out[lo + live[done]] = v[to, done]
     return out
 
 
-def forward_one(word: str, vocab: dict[str, int], logp: np.ndarray, longest: int) -> np.ndarray:
-    a = [np.zeros(logp.shape[1])]
-    for d in range(1, len(word) + 1):
-        terms = [a[d - k] + logp[i] for k in range(1, min(d, longest) + 1) if (i := vocab.get(word[d - k : d])) is not None]
-        if word[d - 1] not in vocab:
-            terms.append(a[d - 1] + logp[-1] * len(word[d - 1].encode("utf-8", "surrogatepass")))
-        a.append(np.logaddexp.reduce(np.array(terms), axis=0))
-        if d > longest:
-            a[d - longest - 1] = None
-    return a[-1]
-
-
 def expected(sorted_words: list[str], counts: np.ndarray, vocab: Vocabulary, logp: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, and of a byte in the last row, over all segmentations of words
-    with counts in each model (a row a word, a column a model). Words longer than LONG go one by one."""
+    with counts in each model (a row a word, a column a model). All prefixes of a block are held."""
     models, powers, out = logp.shape[1], Powers(), np.zeros_like(logp)
-    short = np.array([i for i, w in enumerate(sorted_words) if len(w) <= LONG], np.int64)
-    blocks = [short[lo : lo + BLOCK] for lo in range(0, len(short), BLOCK)]
-    for own in blocks + [np.array([i]) for i, w in enumerate(sorted_words) if len(w) > LONG]:
-        steps = edges([sorted_words[i] for i in own], vocab, powers, False)
-        (length,) = next(steps)
-        held, alpha = [], [np.zeros((len(own), models))]
-        for d, _, _, found, lone in steps:
-            a = np.full((len(own), models), -np.inf)
-            for rows, size_b in lone:
-                a[rows] = alpha[d - 1][rows] + logp[-1] * size_b[:, None]
-            for k, rows, ids in found:
-                a[rows] = np.logaddexp(a[rows], alpha[d - k][rows] + logp[ids])
-            alpha.append(a)
-            held.append((d, found, lone))
-        whole = np.zeros((len(own), models))
-        for d in range(1, len(alpha)):
-            whole[length == d] = alpha[d][length == d]
-        n = counts[own]
-        beta = [np.full((len(own), models), -np.inf) for _ in alpha]
-        for d, found, lone in reversed(held):
-            beta[d][length == d] = 0.0
-            for rows, size_b in lone:
-                step = logp[-1] * size_b[:, None]
-                use = np.exp(alpha[d - 1][rows] + step + beta[d][rows] - whole[rows]) * n[rows] * size_b[:, None]
-                out[-1] += use.sum(axis=0)
-                beta[d - 1][rows] = np.logaddexp(beta[d - 1][rows], step + beta[d][rows])
-            for k, rows, ids in found:
-                use = np.exp(alpha[d - k][rows] + logp[ids] + beta[d][rows] - whole[rows]) * n[rows]
-                for m in range(models):
-                    out[:, m] += np.bincount(ids, weights=use[:, m], minlength=len(out))
-                beta[d - k][rows] = np.logaddexp(beta[d - k][rows], logp[ids] + beta[d][rows])
+    for lo, hi in blocks(sorted_words, max(1 << 14, BLOCK // (4 * models))):
+        size = np.fromiter(map(len, sorted_words[lo:hi]), np.int64, hi - lo)
+        off = np.cumsum(size + 1) - size - 1
+        alpha = np.zeros((size.sum() + hi - lo, models))
+        beta = np.full_like(alpha, -np.inf)
+        held, live = [], np.arange(hi - lo)
+        for s in stretches(sorted_words[lo:hi], vocab, powers, False):
+            live = live[s.keep]
+            w, nodes = _log_weights(s.ids, logp, logp[-1]), np.diff(s.first)
+            end = off[live[s.word]] + np.repeat(np.arange(s.depth, s.depth + len(s.at) - 1), np.diff(s.at))
+            to = np.repeat(end, nodes)
+            since = to - s.length
+            for a, z in zip(s.at[:-1], s.at[1:]):
+                e, f = s.first[a], s.first[z]
+                alpha[end[a:z]] = _sum(alpha[since[e:f]] + w[e:f], s.first[a:z] - e, nodes[a:z])
+            held.append((s, w, to, since, np.repeat(live[s.word], nodes)))
+        beta[off + size] = 0.0
+        whole, n = alpha[off + size], counts[lo:hi]
+        for s, w, to, since, of in reversed(held):
+            for a, z in zip(s.at[-2::-1], s.at[:0:-1]):
+                e, f = s.first[a], s.first[z]
+                beta[since[e:f]] = np.logaddexp(beta[since[e:f]], w[e:f] + beta[to[e:f]])
+            use = np.exp(alpha[since] + w + beta[to] - whole[of]) * n[of]
+            spelled = s.ids < 0
+            out[-1] += ((-1.0 - s.ids[spelled])[:, None] * use[spelled]).sum(axis=0)
+            for m in range(models):
+                out[:, m] += np.bincount(s.ids[~spelled], weights=use[~spelled, m], minlength=len(out))
     return out

@@ -1,11 +1,12 @@
 """Token counts and language identification: both walk segmentation lattices."""
 
-import itertools
 import math
 import random
+import time
 
 import messy
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import langid, lattice, token_counts
@@ -54,17 +55,78 @@ def test_best_and_sum_against_all_segmentations():
     assert np.allclose(got, uses)
 
 
-def test_long_words_one_by_one():
-    word = "▁" + "ab" * 100 + "é"
-    short, score = lattice.LONG, lattice.zipf(SMALL.size)
-    logp = np.append(score, score.min() - lattice.BYTE_PENALTY)[:, None]
-    a = lattice.viterbi([word], SMALL, score), lattice.forward([word], SMALL, logp)
-    lattice.LONG = 1000
-    try:
-        b = lattice.viterbi([word], SMALL, score), lattice.forward([word], SMALL, logp)
-    finally:
-        lattice.LONG = short
-    assert np.allclose(a[0][0], b[0][0]) and a[0][1] == b[0][1] and np.allclose(a[1], b[1])
+def best(word, vocab, score, byte, longest):
+    """Score and pieces of the best segmentation, character by character."""
+    known = [(0.0, 0)]
+    for d in range(1, len(word) + 1):
+        each = [(known[d - k][0] + score[i], -known[d - k][1] - 1) for k in range(1, min(d, longest) + 1) if (i := vocab.get(word[d - k : d])) is not None]
+        if word[d - 1] not in vocab:
+            n = len(word[d - 1].encode())
+            each.append((known[d - 1][0] + n * byte, -known[d - 1][1] - n))
+        s, n = max(each)
+        known.append((s, -n))
+    return known[-1]
+
+
+def whole_sum(word, vocab, logp, longest):
+    known = [0.0]
+    for d in range(1, len(word) + 1):
+        each = [known[d - k] + logp[i] for k in range(1, min(d, longest) + 1) if (i := vocab.get(word[d - k : d])) is not None]
+        if word[d - 1] not in vocab:
+            each.append(known[d - 1] + len(word[d - 1].encode()) * logp[-1])
+        known.append(max(each) + math.log(sum(math.exp(x - max(each)) for x in each)))
+    return known[-1]
+
+
+@pytest.mark.parametrize("ahead", [1, 7, 1 << 16])
+def test_words_of_any_length(ahead, monkeypatch):
+    monkeypatch.setattr(lattice, "AHEAD", ahead)
+    rng = random.Random(8)
+    stem = "▁" + "".join(rng.choice("abéx東\U0001f600") for _ in range(500))
+    words = sorted({*some_words(), stem, stem + "ab", stem[:300], stem[:300] + "b" * 90, "▁" + "ab" * 700, "▁" + "東" * 65})
+    vocab, score = {t: i for i, t in enumerate(SMALL.texts)}, lattice.zipf(SMALL.size)
+    logp = np.append(score, score.min() - lattice.BYTE_PENALTY)
+    total, n = lattice.viterbi(words, SMALL, score)
+    alone = lattice.viterbi(words, SMALL, score, share=False)
+    sums = lattice.forward(words, SMALL, logp[:, None])[:, 0]
+    assert np.allclose(sums, lattice.forward(words, SMALL, logp[:, None], share=False)[:, 0])
+    for i, w in enumerate(words):
+        s, k = best(w, vocab, score, logp[-1], SMALL.longest)
+        assert abs(total[i] - s) < 1e-9 * max(1, len(w)) and n[i] == k == alone[1][i]
+        assert abs(sums[i] - whole_sum(w, vocab, logp, SMALL.longest)) < 1e-8 * len(w)
+
+
+def test_a_prefix_is_worked_out_once():
+    rng = random.Random(2)
+    stem = "▁" + "".join(rng.choice("ab") for _ in range(300))
+    words = sorted(stem + x for x in ("", "a", "ab", "b", "bb"))
+    nodes = [sum(len(s.word) for s in lattice.stretches(words, SMALL, lattice.Powers(), share)) for share in (True, False)]
+    assert nodes == [len(stem) + 4, sum(map(len, words))]
+
+
+def test_a_very_long_word_in_time():
+    word, vocab = "▁" + "qwertzuiopasdfgh" * 6_250, lattice.load()
+    logp = np.repeat(np.append(lattice.zipf(vocab.size), -30.0)[:, None], 4, axis=1)
+    began = time.monotonic()
+    lattice.viterbi([word], vocab, lattice.zipf(vocab.size))
+    lattice.forward([word], vocab, logp)
+    used = lattice.expected([word], np.ones((1, 4)), vocab, logp)
+    assert time.monotonic() - began < 60
+    assert np.allclose(np.array([len(t) for t in vocab.texts] + [1]) @ used, len(word))
+
+
+def test_languages_without_spaces(spark):
+    rng = random.Random(5)
+    signs = {"zh": "的一是不了在人有我他这中大来上国", "ja": "のにはをたがでてとしれさあるいも"}
+    rows = [(i, "".join(rng.choice(signs[x]) for _ in range(300)), x) for i, x in enumerate(["zh", "ja"] * 20)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang for r in found.collect()} == {i: x for i, _, x in rows}
+
+
+def test_op7_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = langid.op7(spark, sf).join(docs.withColumnRenamed("lang", "told"), "doc_id").where("n_chars >= 100").collect()
+    assert len(rows) > 50 and np.mean([r.lang == r.told for r in rows]) >= 0.97
 
 
 def test_token_counts_against_brute_force(spark, sf):
@@ -79,7 +141,7 @@ def test_token_counts_against_brute_force(spark, sf):
         words = ["▁" + w for w in (r.text or "").replace("\x0b", " ").replace("\x0c", " ").split(" ") for w in w.split() if w]
         for w in words:
             if w not in known:
-                known[w] = lattice.best_one(w, index, score, byte, vocab.longest)
+                known[w] = best(w, index, score, byte, vocab.longest)
         g = got[r.doc_id]
         assert (g.n_words, g.n_tokens) == (len(words), sum(known[w][1] for w in words))
         assert abs(g.log_prob - sum(known[w][0] for w in words)) < 1e-6 * max(1, abs(g.log_prob))
@@ -121,7 +183,7 @@ def test_languages_messy(spark):
     assert {r.lang for r in langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
 
 
-def test_long_words_count_in_the_fit(monkeypatch):
+def test_long_words_count_in_the_fit():
     words = [*some_words(), "▁" + "abébx" * 20]
     counts = np.ones((len(words), 2))
     logp = np.repeat(np.append(lattice.zipf(SMALL.size), -9.0)[:, None], 2, axis=1)
@@ -130,5 +192,3 @@ def test_long_words_count_in_the_fit(monkeypatch):
     alone = lattice.expected(words[-1:], counts[:1], SMALL, logp)
     assert np.allclose(size @ alone + alone[-1], len(words[-1]))
     assert np.allclose(whole - lattice.expected(words[:-1], counts[:-1], SMALL, logp), alone)
-    monkeypatch.setattr(lattice, "LONG", 3)
-    assert np.allclose(lattice.expected(words, counts, SMALL, logp), whole)
