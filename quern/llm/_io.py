@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Arrow batches of at most so many bytes in this session, unless it has a setting of its own.
-    By default they have 10,000 rows whatever these hold, and a session that runs many stages
-    keeps buffers for the largest in every executor and worker."""
+    """Arrow batches of at most so many bytes, for the rest of this session and what else runs in
+    it, unless it has a setting of its own. Spark's default is 64 MB, and a session that runs many
+    stages keeps buffers for the largest in every executor and worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(size))
@@ -84,18 +84,49 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(ids.toDF(name)), docs["doc_id"] == F.col(name), "left_anti")
 
 
+def whole(df: DataFrame, name: str = "doc_id") -> bool:
+    return isinstance(df.schema[name].dataType, T.IntegralType)
+
+
+def id_type(df: DataFrame, name: str = "doc_id") -> str:
+    """The type in which operators give the ids of a column: BIGINT for whole numbers, else its own."""
+    return "bigint" if whole(df, name) else df.schema[name].dataType.simpleString()
+
+
+def as_id(df: DataFrame, name: str = "doc_id") -> Column:
+    return F.col(name).cast("long") if whole(df, name) else F.col(name)
+
+
+def numbered(docs: DataFrame, run: Callable[[DataFrame], DataFrame], out: Iterable[str] = ("doc_id",), key: str = "doc_id") -> DataFrame:
+    """run(docs), which needs whole numbers in key. Other ids, texts for one, get numbers in their
+    order first, and the columns out of the result get the ids again."""
+    if whole(docs, key):
+        return run(docs)
+    own, number = fresh(docs, "_own"), fresh(docs, "_number")
+    ids = cut(docs.where(F.col(key).isNotNull()).select(F.col(key).alias(own)).distinct().orderBy(own).withColumn(number, F.monotonically_increasing_id()))
+    found = run(docs.join(ids, docs[key] == ids[own], "left").withColumn(key, F.col(number)).select(*docs.columns))
+    columns = found.columns
+    for c in out:
+        found = found.join(ids.select(F.col(own).alias("_out"), F.col(number).alias("_in")), found[c] == F.col("_in"), "left").drop(c, "_in").withColumnRenamed("_out", c)
+    return found.select(*columns)
+
+
+def _slim(docs: DataFrame, text: Column | str) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(as_id(docs).alias("doc_id"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string").alias("text"))
+
+
 def id_and_text(docs: DataFrame, text: Column | str = "text", nulls_last: bool = False) -> DataFrame:
     """doc_id and text alone, text null as ''. Rows without a doc_id go. Rows that share a doc_id
     count as one document, with the least of their texts; nulls_last: of those that aren't null or
     empty, if there are any."""
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string").alias("text"))
+    slim = _slim(docs, text)
     least = F.coalesce(F.min(F.nullif("text", F.lit(""))), F.lit("")) if nulls_last else F.min("text")
     return slim.groupBy("doc_id").agg(least.alias("text")) if repeats_ids(docs) else slim
 
 
 def id_and_texts(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """As id_and_text, but with a row for each different text of the rows that share a doc_id."""
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string").alias("text"))
+    slim = _slim(docs, text)
     return slim.distinct() if repeats_ids(docs) else slim
 
 

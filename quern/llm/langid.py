@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import lattice
 from quern.llm._bytes import Powers
-from quern.llm._io import cut, id_and_text, table
+from quern.llm._io import as_id, cut, id_and_text, id_type, table
 
 MAX_LABELLED = 500
 ROUNDS = 2
@@ -51,7 +51,7 @@ def fit(docs: DataFrame, held: object, max_labelled: int = MAX_LABELLED, rounds:
     """The languages in order, and log probabilities with a row a piece (the last: a byte) and a column a language."""
     spark, vocab = docs.sparkSession, lattice.Vocabulary(*held.value)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where("doc_id is not null and lang is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("lang").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= max_labelled).drop("rank")
+    ids = docs.where("doc_id is not null and lang is not null").groupBy(as_id(docs).alias("doc_id")).agg(F.min("lang").alias("lang")).withColumn("rank", rank).where(F.col("rank") <= max_labelled).drop("rank")
     labelled = cut(id_and_text(docs).join(F.broadcast(ids), "doc_id").select("lang", "text"))
     languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     start = _start(vocab)
@@ -89,14 +89,15 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: i
     aren't used. Null, empty and blank texts get null in all three columns, and so does everything
     if no language is labelled. Of equal languages the first by name counts. Rows with a null
     doc_id are left out, rows that share one are one document with the least text and the least
-    lang. Other columns don't matter.
+    lang. Text without white space is one word of any length, in the fit as well. Ids may have any
+    type. Other columns don't matter.
     """
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(lattice.load(vocabulary).parts())
     languages, logp = fit(docs if labelled is None else labelled, held, max_labelled)
     if not languages:
         return id_and_text(docs).select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("posterior"))
-    return id_and_text(docs).mapInArrow(_scorer(held, languages, sc.broadcast(logp)), "doc_id long, lang string, log_prob double, posterior double")
+    return id_and_text(docs).mapInArrow(_scorer(held, languages, sc.broadcast(logp)), f"doc_id {id_type(docs)}, lang string, log_prob double, posterior double")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

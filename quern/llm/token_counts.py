@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import lattice
 from quern.llm._bytes import Powers
-from quern.llm._io import id_and_text, table
+from quern.llm._io import id_and_text, id_type, table
 
 
 def _counter(held: object) -> Callable:
@@ -38,10 +38,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataF
     """(doc_id, n_words, n_tokens, log_prob) a document; log_prob is that of the best segmentation.
 
     Null, empty and blank texts have 0 tokens. Rows with a null doc_id are left out, rows that
-    share one are one document with the least text. White space is ASCII's. Other columns don't matter.
+    share one are one document with the least text. White space is ASCII's, and text
+    without any is one word of any length. Ids may have any type. Other columns don't matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(lattice.load(vocabulary).parts())
-    return id_and_text(docs).mapInArrow(_counter(held), "doc_id long, n_words long, n_tokens long, log_prob double")
+    return id_and_text(docs).mapInArrow(_counter(held), f"doc_id {id_type(docs)}, n_words long, n_tokens long, log_prob double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

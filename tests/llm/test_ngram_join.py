@@ -63,16 +63,40 @@ def test_pairs_against_brute_force(spark, seed):
     texts = random_texts(seed)
     want = brute(texts)
     got = {(r.a, r.b): r.jaccard for r in ngram_join.jaccard_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    assert len(got) >= 0.95 * len(want) > 20
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(want) > 20
+
+
+def test_frequent_ngrams_and_blocks(spark, monkeypatch):
+    """The same with n-grams that don't travel, small parts and groups in several blocks."""
+    texts = {**random_texts(5), **{500 + i: f"one and the same text of ten words or so x{i % 40}" for i in range(60)}, **{600 + i: f"but a short one {i}" for i in range(30)}}
+    want = brute(texts)
+    for name, value in (("FREQUENT", 0), ("FREQUENT_LEAST", 5), ("LOAD", 300), ("BLOCK", 16), ("HELD", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {(r.a, r.b): r.jaccard for r in ngram_join.jaccard_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_ids_of_any_type(spark):
+    d = spark.createDataFrame([("b-c", "the same short text"), ("a-b", "the same short text"), ("c", "another"), (None, "the same short text")], "doc_id string, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_groups(d).collect())) == [("a-b", "a-b", 2, 0), ("b-c", "a-b", 2, 0)]
+    assert sorted(r.doc_id or "" for r in ngram_join.keep_one(d).collect()) == ["", "a-b", "c"]
 
 
 def test_documents_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = groups(brute({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    pairs = brute(texts)
+    want = groups(pairs)
     rows = ngram_join.op9(spark, sf).collect()
+    sets = {i: frozenset(grams(t)) for i, t in texts.items()}
+    links = defaultdict(set)
+    for a, b in pairs:
+        if sets[a] != sets[b]:
+            links[a].add(sets[b])
+            links[b].add(sets[a])
+    assert all(r.n_links == len(links[r.doc_id]) for r in rows)
     got = {r.doc_id: r.group_id for r in rows}
-    assert len(want) > 10 and sum(got.get(k) == v for k, v in want.items()) >= 0.95 * len(want) and set(got) <= set(want)
+    assert len(want) > 10 and got == want
     sizes = defaultdict(int)
     for r in rows:
         sizes[r.group_id] += 1
@@ -93,7 +117,7 @@ def test_a_chain_is_one_group_and_many_copies_are_cheap(spark):
 
 def test_messy(spark):
     d = messy.docs(spark)
-    assert [tuple(r) for r in ngram_join.jaccard_groups(d).orderBy("doc_id").collect()] == [(1, 1, 2), (2, 1, 2)]
+    assert [tuple(r) for r in ngram_join.jaccard_groups(d).orderBy("doc_id").collect()] == [(1, 1, 2, 0), (2, 1, 2, 0)]
     left = ngram_join.keep_one(d)
     assert left.columns == d.columns
     ids = [r.doc_id for r in left.collect()]
@@ -103,7 +127,7 @@ def test_messy(spark):
 
 
 def test_query_of_pairs(spark, sf):
-    """Every pair is right, and with the documents of equal sets all but a few pairs follow from them."""
+    """Every pair is right, and with the documents of equal sets all pairs follow from them."""
     held = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = brute(held)
     found = import_module("__spark_entry__").queries()["op9_jaccard_pairs"](spark, sf)
@@ -116,4 +140,4 @@ def test_query_of_pairs(spark, sf):
     assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
     assert all(got[i, r] == 1 for i, r in rep.items() if i != r)
     follow = {(a, b) for a, b in want if rep[a] == rep[b] or (max(rep[a], rep[b]), min(rep[a], rep[b])) in got}
-    assert len(follow) >= 0.95 * len(want) > 10 and all(rep[a] == b or rep[a] == a and rep[b] == b for a, b in got)
+    assert len(follow) == len(want) > 10 and all(rep[a] == b or rep[a] == a and rep[b] == b for a, b in got)
