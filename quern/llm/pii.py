@@ -6,12 +6,14 @@ numbers; a keyed Feistel network permutes it, walking on while the result lies o
 values get equal pseudonyms in every document and in every layout, different values different
 ones, and whoever holds the key can undo it.
 
-Kinds: cards (13 to 19 digits by Luhn; the first digit stays, the check digit follows), IBANs
-(mod 97), phone numbers (international ones with +, and ten digits in the North American layout;
-the country code stays), social security numbers, IPv4 addresses, dates from 1900 to 2099
+Kinds: cards (13 to 19 digits by Luhn that begin with 2 to 6, 15 with 1 and 16 with 7 to 9; the
+first digit stays, the check digit follows), IBANs (mod 97), phone numbers (international ones with
++, and ten digits in the North American layout; the country code, by the ITU's list, stays, and so
+does a trunk zero in brackets; all other digits are permuted together, however they are set),
+social security numbers, IPv4 addresses, dates from 1900 to 2099
 (2024-01-31, 31.01.2024, 31/01/2024; 12/31/2024 where the day can't come first), e-mail addresses
-(letters and digits before the @) and secrets: 16 to 64 hexadecimal digits with letters among
-them, and access keys (AKIA and 16 signs). A date with the month first stays so, and can be undone
+(letters and digits before the @; the domain stays) and secrets: 16 to 128 hexadecimal digits with
+letters among them, and access keys (AKIA and 16 signs). A date with the month first stays so, and can be undone
 only if its pseudonym can't be read with the day first.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 
 from quern.llm._io import table
 
-#: For tests and demonstrations; set spark.quern.pii.key to a secret elsewhere.
-DEMO_KEY = "quern demonstration key"
+#: The session's setting for the key. Without one a session makes itself a random key.
+KEY_SETTING = "spark.quern.pii.key"
 ROUNDS = 10
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 DAYS = dt.date(2100, 1, 1).toordinal() - FIRST_DAY
@@ -39,7 +42,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<hex>(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![0-9A-Za-z]))"
+    r"|(?P<hex>(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?![0-9A-Za-z]))"
     r"|(?P<access>(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z]))"
     r"|(?P<intl>(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9]))"
@@ -47,9 +50,18 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
     r"|(?P<iso>(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9]))"
     r"|(?P<dmy>(?<![0-9./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[./][0-9]))"
-    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?:(?P=gap)[0-9]{1,3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z]))"
     r"|(?P<local>(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[\-. ])[0-9]{3}[\-. ][0-9]{4}(?![0-9A-Za-z]))"
 )
+#: What every value that PATTERN finds has in it: only an access key may have no digit.
+HINT = "[0-9@]|AKIA"
+#: Country codes of one digit and of two; all others have three.
+ONE, TWO = {"1", "7"}, set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_digits(signs: str) -> int:
+    """How many digits of an international number are its country code."""
+    return 1 if signs[0] in ONE else 2 if signs[:2] in TWO else 3
 
 
 def feistel(value: int, size: int, key: bytes, kind: bytes, back: bool = False) -> int:
@@ -154,7 +166,7 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         body = permute(signs[4:], [D if c.isdigit() else LETTERS.upper() for c in signs[4:]], key, "iban", back)
         return refill(text, f"{signs[:2]}{98 - mod97(signs[:2] + '00' + body):02}{body}")
     if kind == "card":
-        if signs[0] not in "23456" or luhn(signs):
+        if signs[0] not in {15: "123456", 16: "23456789"}.get(len(signs), "23456") or luhn(signs):
             return None
         body = signs[0] + permute(signs[1:-1], [D] * (len(signs) - 2), key, "card", back)
         return refill(text, body + str(luhn(body + "0")))
@@ -167,15 +179,19 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         area, group = divmod(n, 99)
         area += 1 + (area >= 665)
         return f"{area:03}-{group + 1:02}-{serial + 1:04}"
-    country = re.match(r"\+[0-9]{1,3}(?![0-9])", text)
-    code = len(country[0]) - 1 if country else 1 if kind == "intl" else 0
+    trunk = "(0)" in text and kind == "intl"
+    if trunk:  # not dialled from abroad, and no part of the number
+        text = text.replace("(0)", "(\0)", 1)
+        signs = "".join(c for c in text if c.isalnum())
+    code = country_digits(signs) if kind == "intl" else 0
     national = signs[code:]
     if not 8 <= len(signs) <= 15 and kind == "intl" or kind == "local" and (national[0] not in NZ or national[3] not in NZ) or len(national) < 6:
         return None
     classes = [D] * len(national)
     if len(national) == 10 and (not code or signs[:code] == "1") and national[0] in NZ and national[3] in NZ:
         classes[0] = classes[3] = NZ
-    return refill(text, signs[:code] + permute(national, classes, key, "phone", back))
+    new = refill(text, signs[:code] + permute(national, classes, key, "phone", back))
+    return new.replace("(\0)", "(0)") if trunk else new
 
 
 NAMES = {"intl": "phone", "local": "phone", "iso": "date", "dmy": "date", "hex": "token", "access": "token"}
@@ -213,7 +229,7 @@ def _replacer(key: bytes, names: list[str], count: bool) -> Callable:
         for b in batches:
             known: dict = {}
             col = b.column(names.index("text"))
-            hot = [i for i, x in enumerate(pc.match_substring_regex(col, "[0-9@]").to_pylist()) if x]
+            hot = [i for i, x in enumerate(pc.match_substring_regex(col, HINT).to_pylist()) if x]
             texts, found = {}, {}
             for i in hot:
                 new, f = replace(col[i].as_py(), key, known)
@@ -234,14 +250,20 @@ def _replacer(key: bytes, names: list[str], count: bool) -> Callable:
 
 
 def _key(spark: SparkSession, key: str | None) -> bytes:
-    return (key or spark.conf.get("spark.quern.pii.key", DEMO_KEY)).encode()
+    """The given key, else the session's, else a random one that the session keeps: without a key
+    of one's own, values are linked within the session and nobody can undo them."""
+    if not (found := key or spark.conf.get(KEY_SETTING, None)):
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found.encode()
 
 
 def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the values in text replaced, and n_chars, if there is one, as the new text's length.
 
     Row by row and without a shuffle: repeated rows, null ids, null and empty texts and other
-    columns pass as they are; so does what isn't valid. An empty table stays empty.
+    columns pass as they are; so does what isn't valid. An empty table stays empty. Ids may have
+    any type. key: see _key.
     """
     return docs.mapInArrow(_replacer(_key(docs.sparkSession, key), docs.columns, False), docs.schema)
 
