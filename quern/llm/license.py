@@ -15,6 +15,7 @@ longest counts; a match inside a longer one of another template doesn't.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -27,10 +28,24 @@ from quern.llm._io import table
 
 WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*|©")
 SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "©": "copyright", "favour": "favor", "organisation": "organization", "noncommercial": "non-commercial", "sub-license": "sublicense", "sub-licence": "sublicense", "sublicence": "sublicense", "https": "http"}
-#: Tokens that a replaceable part may take if its pattern names no number.
-MOST_TOKENS = 60
+WORK = '<<beginOptional>>This <<var;name="work";original="work";match=".{1,40}">> is <<endOptional>>'
 COPYRIGHT = '<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="copyright";original="";match=".{0,200}">><<endOptional>>'
 AS_IS = 'IN NO EVENT SHALL <<var;name="holder";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,120}">> BE LIABLE FOR ANY'
+CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>>
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary
+        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;name="provider";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".{1,120}">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;name="holder";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".{1,120}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+        BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+        STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+
+
+def gnu(license: str, version: str) -> str:
+    return f"""This <<var;name="work";original="program";match=".{{1,40}}">> is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the
+        {license} as published by the Free Software Foundation<<beginOptional>>;<<endOptional>> either version {version} of the License, or <<beginOptional>>(at your option)<<endOptional>> any later
+        version"""
+
 
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": """<<beginOptional>>This <<var;name="work";original="work";match=".{1,40}">> is <<endOptional>>Licensed under the Apache License, Version 2.0
@@ -49,7 +64,43 @@ TEMPLATES: dict[str, str] = {
         SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
     "ISC": f"""<<beginOptional>>ISC License<<endOptional>> {COPYRIGHT} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
-        <<var;name="holder";original="THE AUTHOR";match=".{{1,80}}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""",
+        <<var;name="holder";original="THE AUTHOR";match=".{{1,80}}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<var;name="holder2";original="THE AUTHOR";match=".{{1,80}}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+        OF THIS SOFTWARE""",
+    "0BSD": f"""<<beginOptional>>Zero-Clause BSD<<endOptional>> {COPYRIGHT} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="holder";original="THE AUTHOR";match=".{{1,80}}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="holder2";original="THE AUTHOR";match=".{{1,80}}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
+        ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE""",
+    "BSD-2-Clause": f"""{COPYRIGHT} {CLAUSES} {DISCLAIMER}""",
+    "BSD-3-Clause": f"""{COPYRIGHT} {CLAUSES} <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="owner";original="the copyright holder";match=".{{1,120}}">> nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission. {DISCLAIMER}""",
+    "Zlib": f"""{COPYRIGHT} This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software
+        in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as
+        such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+        software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+        OR OTHER DEALINGS IN THE SOFTWARE""",
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0""",
+    "BSL-1.0-notice": """Distributed under the Boost Software License, Version 1.0<<beginOptional>>See accompanying file LICENSE_1_0.txt or copy at
+        http://www.boost.org/LICENSE_1_0.txt<<endOptional>>""",
+    "GPL-2.0-notice": gnu("GNU General Public License", "2"),
+    "LGPL-2.1-notice": gnu("GNU Lesser General Public License", "2.1"),
+    "GPL-3.0-standard-notice": gnu("GNU General Public License", "3"),
+    "LGPL-3.0-notice": gnu("GNU Lesser General Public License", "3"),
+    "AGPL-3.0-notice": gnu("GNU Affero General Public License", "3"),
+    "CC-BY-4.0-notice": f"""{WORK} licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution 4.0 International
+        <<beginOptional>>Public<<endOptional>> License""",
+    "CC-BY-SA-4.0-notice": f"""{WORK} licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution-ShareAlike 4.0 International
+        <<beginOptional>>Public<<endOptional>> License""",
     "GPL-3.0-notice": """<<beginOptional>>This <<var;name="work";original="work";match=".{1,40}">> is <<endOptional>>licensed under the GNU General Public License,
         <<beginOptional>>either<<endOptional>> version 3<<beginOptional>>of the License<<endOptional>><<beginOptional>>or any later version<<endOptional>>""",
     "CC-BY-NC-4.0": """<<beginOptional>>This <<var;name="work";original="work";match=".{1,40}">> is <<endOptional>>Licensed under
@@ -67,7 +118,7 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
 @dataclass
 class Template:
     """An automaton: states with an operation each. ("word", w) takes that token, ("split", a, b)
-    goes both ways, ("open", name, pattern, most) starts a replaceable part, ("any",) takes a token
+    goes both ways, ("open", name, pattern, least, most) starts a replaceable part, ("any",) takes a token
     in it or ends it, ("accept",) accepts."""
 
     name: str
@@ -80,6 +131,16 @@ class Template:
         return max(sorted(self.mandatory), key=len)
 
 
+def bounds(pattern: str) -> tuple[re.Pattern | None, int, float]:
+    """A replaceable part's pattern, None if any text of its length will do, and the least and most
+    characters that it takes; most is infinite where the pattern sets no bound."""
+    if m := re.fullmatch(r"\.(?:([*+?])|\{(\d+)(,?)(\d*)\})", pattern):
+        if m[1]:
+            return None, int(m[1] == "+"), 1 if m[1] == "?" else math.inf
+        return None, int(m[2]), int(m[4]) if m[4] else math.inf if m[3] else int(m[2])
+    return re.compile(pattern, re.S), 0, math.inf
+
+
 MARK = re.compile(r'<<(beginOptional|endOptional|var)((?:;\w+="[^"]*")*)>>', re.S)
 
 
@@ -107,8 +168,7 @@ def compile_template(name: str, source: str) -> Template:
         else:
             args = dict(re.findall(r';(\w+)="([^"]*)"', m[2]))
             pattern = args.get("match", ".*")
-            most = int(n[1]) if (n := re.fullmatch(r"\.\{\d+,(\d+)\}", pattern)) else MOST_TOKENS
-            t.program.append(("open", args.get("name", ""), re.compile(pattern, re.S), most))
+            t.program.append(("open", args.get("name", ""), *bounds(pattern)))
             t.program.append(("any",))
     words(source[at:])
     if stack or not t.mandatory:
@@ -156,11 +216,11 @@ def accept(t: Template, toks: list[tuple[str, int, int]], text: str, at: int) ->
             elif op[0] == "open":
                 stack.append((k + 1, pos, parts))
             elif op[0] == "any":
-                _, name, pattern, most = t.program[k - 1]
+                _, name, pattern, least, most = t.program[k - 1]
                 a, z = (toks[begun][1], toks[pos - 1][2]) if pos > begun else (0, 0)
-                if pattern.fullmatch(text, a, z):
+                if least <= z - a <= most and (pattern is None or pattern.fullmatch(text, a, z)):
                     stack.append((k + 1, -1, (*parts, (name, a, z)) if z else parts))
-                if pos < len(toks) and pos - begun < most:
+                if pos < len(toks) and z - a <= most:
                     after.append((k, begun, parts))
             elif pos < len(toks) and toks[pos][0] == op[1]:
                 after.append((k + 1, -1, parts))
@@ -183,8 +243,13 @@ def scan(text: str, templates: list[Template]) -> list[dict]:
             if i >= at and (hit := accept(t, toks, text, i)):
                 at = hit[0]
                 found.append({"license": t.name, "start": toks[i][1], "end": toks[at - 1][2], "parts": [{"name": n, "start": a, "end": z} for n, a, z in hit[1]]})
-    inner = [any(b is not a and b["start"] <= a["start"] and a["end"] <= b["end"] and b["end"] - b["start"] > a["end"] - a["start"] for b in found) for a in found]
-    return sorted((f for f, x in zip(found, inner) if not x), key=lambda f: (f["start"], f["license"]))
+    out, reach, span = [], -1, None
+    for f in sorted(found, key=lambda f: (f["start"], -f["end"])):
+        if (f["start"], f["end"]) != span:
+            span, reach, before = (f["start"], f["end"]), max(reach, f["end"]), reach
+        if f["end"] > before:  # else it lies in a longer one that began no later
+            out.append(f)
+    return sorted(out, key=lambda f: (f["start"], f["license"]))
 
 
 PARTS = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -213,7 +278,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     Row by row and without a shuffle: repeated rows and null ids give their matches each time; null
     and empty texts give none, and so does an empty table. No templates match nothing. Other
-    columns don't matter.
+    columns don't matter. Ids may have any type. A text's time grows with its tokens, those of
+    templates whose replaceable parts have no bound apart: each of their places reads on to the end.
     """
     held = TEMPLATES if templates is None else templates
     for n, s in held.items():
