@@ -66,12 +66,30 @@ class Powers:
             np.cumprod(self.down, out=self.down)
 
 
-def spans(data: np.ndarray, at: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each token, and the number of tokens before each row (and after the last)."""
+def typography(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of signs beyond ASCII that are no parts of words: U+00A0 to U+00BF but
+    for the letters among them, general punctuation (U+2000 to U+206F) and that of U+3000 to U+303F."""
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE2) | (data == 0xE3))
+    lead = lead[lead + 1 < len(data)]
+    kind, after = data[lead], data[lead + 1]
+    two = lead[(kind == 0xC2) & (after >= 0xA0) & ~np.isin(after, (0xAA, 0xB5, 0xBA))]
+    three, kind, after = (x[(kind != 0xC2) & (lead + 2 < len(data))] for x in (lead, kind, after))
+    third = data[three + 2]
+    quotes = (kind == 0xE2) & ((after == 0x80) | (after == 0x81) & (third <= 0xAF))
+    wide = (kind == 0xE3) & (after == 0x80) & ~np.isin(third, (0x85, 0x86, 0x87))
+    three = three[quotes | wide]
+    return np.concatenate([two, two + 1, three, three + 1, three + 2])
+
+
+def spans(data: np.ndarray, at: np.ndarray, word: np.ndarray = WORD, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each token, and the number of tokens before each row (and after the last).
+    signs: typography() isn't part of any."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     w = word[data]
+    if signs:
+        w[typography(data)] = False
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
     last[:-1] &= ~w[1:]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
-from quern.llm._io import cut, id_and_text, id_and_texts, repeats_ids, table, without
+from quern.llm._io import cut, id_and_text, id_and_texts, id_type, repeats_ids, table, without
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -26,7 +26,7 @@ COVERAGE = 0.5
 PIECE = 1 << 19
 #: Characters of the benchmark up to which every task gets all of it; beyond, seeds are joined.
 BROADCAST_CHARS = 32 << 20
-RESULT = "doc_id long, item_id long, item_tokens int, covered_tokens int, coverage double, n_tiles int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
+RESULT = "doc_id {}, item_id {}, item_tokens int, covered_tokens int, coverage double, n_tiles int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
 TILES = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
 
 
@@ -76,10 +76,10 @@ def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, t: np.ndarray, m: int
 class Benchmark:
     """The items' tokens, and their windows of m tokens in the order of their hashes."""
 
-    def __init__(self, ids: list[int], texts: list[str], m: int) -> None:
+    def __init__(self, ids: list, texts: list[str], m: int) -> None:
         self.ids, self.m, self.powers = ids, m, Powers()
         (_, _, data, at), *rest = [*pieces(pa.array(texts, pa.string()), 1 << 40)] or [(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
-        s, e, self.first = spans(data, at)
+        s, e, self.first = spans(data, at, signs=True)
         self.tokens = hashes(data, s, e, self.powers)
         w, at = running(self.tokens, self.first, m, self.powers)
         o = np.argsort(w, kind="stable")
@@ -98,13 +98,13 @@ class Benchmark:
         return np.repeat(hit, n), start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _scan(ids: list[int], texts: list[str], m: int, least: float) -> Callable:
+def _scan(ids: pa.Array, texts: list[str], m: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, powers = Benchmark(ids, texts, m), Powers()
+        bench, powers = Benchmark(list(range(len(ids))), texts, m), Powers()
         for b in batches:
             rows: list[tuple] = []
             for lo, _, data, at in pieces(b.column("text"), PIECE):
-                s, e, first = spans(data, at)
+                s, e, first = spans(data, at, signs=True)
                 h = hashes(data, s, e, powers)
                 w, where = running(h, first, m, powers)
                 x, y = bench.seeds(w)
@@ -128,7 +128,7 @@ def _scan(ids: list[int], texts: list[str], m: int, least: float) -> Callable:
                     if (n := sum(x[2] for x in tiles)) >= least * len(item):
                         rows.append((lo + d, bench.ids[k], len(item), n, n / len(item), len(tiles), [dict(zip(("item_start", "doc_start", "length"), x)) for x in tiles]))
             c = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.int32()), pa.array(c[6], TILES)], names=["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "n_tiles", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c[0], pa.int64())), ids.take(pa.array(c[1], pa.int64())), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.int32()), pa.array(c[6], TILES)], names=["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "n_tiles", "tiles"])
 
     return run
 
@@ -138,7 +138,7 @@ def _windows(m: int) -> Callable:
         powers = Powers()
         for b in batches:
             for lo, _, data, at in pieces(b.column("text"), PIECE):
-                s, e, first = spans(data, at)
+                s, e, first = spans(data, at, signs=True)
                 w, where = running(hashes(data, s, e, powers), first, m, powers)
                 row = lo + np.searchsorted(first, where, side="right") - 1
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(w.view(np.int64))], names=["id", "w"])
@@ -150,7 +150,7 @@ def _pairs(m: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                scan = _scan([b.column("item_id")[k].as_py()], [b.column("item")[k].as_py()], m, least)
+                scan = _scan(b.column("item_id").slice(k, 1), [b.column("item")[k].as_py()], m, least)
                 yield from scan(iter([b.slice(k, 1).select(["doc_id", "text"])]))
 
     return run
@@ -164,17 +164,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     does such a document. Items with the same text each give their row. Rows with a null doc_id
     or item_id give none. Of rows that share a doc_id each text is compared, and the one that covers
     most of the item gives the row; items that share an id are one, with the least text. Either
-    table may be empty; other columns don't matter.
+    table may be empty, ids may have any type; other columns don't matter. Signs of typography,
+    curly quotes and dashes for two, are no parts of words.
     """
     slim = id_and_texts(docs, F.lower("text"))
     items = id_and_text(benchmark.select(F.col("item_id").alias("doc_id"), "text"), F.lower("text")).withColumnsRenamed({"doc_id": "item_id", "text": "item"})
+    result = RESULT.format(id_type(docs), items.schema["item_id"].dataType.simpleString())
     if (items.agg(F.sum(F.length("item"))).first()[0] or 0) <= broadcast_chars:
-        held = items.orderBy("item_id").collect()
-        return _best(docs, slim.mapInArrow(_scan([r.item_id for r in held], [r.item for r in held], min_match, coverage), RESULT))
-    own = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(min_match), "id long, w long").select(F.col("id").alias("item_id"), "w").distinct()
-    theirs = slim.select(F.col("doc_id").alias("id"), "text").mapInArrow(_windows(min_match), "id long, w long").select(F.col("id").alias("doc_id"), "w")
+        held = items.orderBy("item_id").toArrow()
+        return _best(docs, slim.mapInArrow(_scan(held["item_id"].combine_chunks(), held["item"].to_pylist(), min_match, coverage), result))
+    own = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_windows(min_match), f"id {items.schema['item_id'].dataType.simpleString()}, w long").select(F.col("id").alias("item_id"), "w").distinct()
+    theirs = slim.select(F.col("doc_id").alias("id"), "text").mapInArrow(_windows(min_match), f"id {id_type(docs)}, w long").select(F.col("id").alias("doc_id"), "w")
     shared = cut(theirs.join(own, "w").select("doc_id", "item_id").distinct())
-    return _best(docs, shared.join(items, "item_id").join(slim, "doc_id").mapInArrow(_pairs(min_match, coverage), RESULT))
+    return _best(docs, shared.join(items, "item_id").join(slim, "doc_id").mapInArrow(_pairs(min_match, coverage), result))
 
 
 def _best(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import mix, pieces
-from quern.llm._io import cut, table
+from quern.llm._io import as_id, cut, numbered, table, whole
 
 LEAST, MOST, LEVEL = 256, 8192, 9
 #: Shared chunks up to which every task gets their digests (32 bytes each); beyond, they are joined.
@@ -85,7 +85,7 @@ def _lister(least: int, most: int, level: int) -> Callable:
 
 def payloads(media: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """(id, payload) with bytes for text; null payloads and null ids go, rows that share an id are one, with the least payload."""
-    slim = media.select(F.col(id_col).cast("long").alias("id"), F.col(payload_col).cast("binary").alias("payload")).where("id is not null and payload is not null")
+    slim = media.select(as_id(media, id_col).alias("id"), F.col(payload_col).cast("binary").alias("payload")).where("id is not null and payload is not null")
     repeated = not slim.groupBy("id").count().where("count > 1").isEmpty()
     return slim.groupBy("id").agg(F.min("payload").alias("payload")) if repeated else slim
 
@@ -174,8 +174,11 @@ def reconstruct(media: DataFrame, least: int = LEAST, most: int = MOST, level: i
     new_bytes (the chunks it is the first to hold), payload, verified.
 
     An empty payload has no chunks and verifies; equal payloads belong to the least id. Null
-    payloads and ids are to be removed before, as payloads() does. An empty table gives no rows.
+    payloads and ids are to be removed before, as payloads() does. An empty table gives no rows. Ids
+    may have any type that can be ordered.
     """
+    if not whole(media, "id"):
+        return numbered(media, lambda m: reconstruct(m, least, most, level, broadcast_chunks), ("id",), "id")
     lists = chunk_lists(media, least, most, level)
     refs = references(lists)
     kind = F.when(F.col("uses") == 1, 0).when((F.col("id") == F.col("owner")) & (F.col("seq") == F.col("owner_seq")), 1).otherwise(2)

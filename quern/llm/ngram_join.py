@@ -58,7 +58,7 @@ def prefix(size: np.ndarray | int, threshold: float) -> np.ndarray:
 
 def _sets(col: pa.Array, n: int, powers: Powers) -> Iterator[np.ndarray]:
     for _, _, data, at in pieces(col, PIECE):
-        s, e, first = spans(data, at)
+        s, e, first = spans(data, at, signs=True)
         g, before = grams(hashes(data, s, e, powers), first, n)
         for lo, hi in zip(before[:-1], before[1:]):
             yield np.unique(g[lo:hi])
@@ -394,7 +394,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
     Documents with the same set are joined through one representative and expanded at the end, so
     the result alone is quadratic in a group. Documents that are null, empty or without tokens are
-    in no pair; repeated rows of one doc_id are one document; other columns don't matter. Ids may
+    in no pair; curly quotes, dashes and the like are no parts of tokens; repeated rows of one doc_id are one document; other columns don't matter. Ids may
     have any type that can be ordered.
     """
 

@@ -15,9 +15,11 @@ expect there if it were raw. The models differ only where the number of document
 n-gram does, by SIGNIFICANCE standard deviations: else the rare words of a labelled text would
 speak for it and those of any other text against it, the more the longer it is.
 
-k is the number of documents from the least key up that separates the labelled documents best,
-where a good document lost counts as LOST others kept. So k follows what the corpus holds, and not
-the share of good ones among the labels.
+k, or a share of the documents, may be given. Without one it is the number of documents from the
+least key up that separates the labelled documents best, where a good document lost counts as LOST
+others kept. So k follows what the corpus holds, and not the share of good ones among the labels.
+Each labelled document has its key there from a target model without that document: its own
+counts are taken off, which is what leaving it out of the fit gives.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import WORD, Powers, U, hashes, mix, pieces
-from quern.llm._io import cut, id_and_text, table, without
+from quern.llm._io import as_id, cut, id_and_text, id_type, numbered, table, whole, without
 
 BITS = 20
 SMOOTHING = 2.0
@@ -91,6 +93,11 @@ def _counter(bits: int) -> Callable:
     return run
 
 
+def _gumbel(seed: pa.Array) -> np.ndarray:
+    u = ((mix(seed.to_numpy().astype(np.int64).view(U) ^ U(SEED)) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return -np.log(-np.log(u))
+
+
 def _scorer(weights: object, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, w = Powers(), weights.value.astype(np.float64)
@@ -100,8 +107,7 @@ def _scorer(weights: object, bits: int) -> Callable:
                 rows = len(before) - 1
                 n[lo : lo + rows] = np.diff(before)
                 total[lo : lo + rows] = np.bincount(np.repeat(np.arange(rows), np.diff(before)), weights=w[buckets], minlength=rows)
-            u = ((mix(b.column("doc_id").to_numpy().astype(np.int64).view(U) ^ U(SEED)) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total - np.log(-np.log(u)))], names=["doc_id", "n_grams", "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total + _gumbel(b.column("seed")))], names=["doc_id", "n_grams", "log_weight", "key"])
 
     return run
 
@@ -109,26 +115,56 @@ def _scorer(weights: object, bits: int) -> Callable:
 def chosen(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, good) of at most so many labelled documents. Of several labels of one the worst
     counts; a null quality is no label, a null toxic is 0."""
-    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    one = labels.where("doc_id is not null").groupBy(as_id(labels).alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = (F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     return one.where("quality is not null").select("doc_id", good.alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def fit(slim: DataFrame, labelled: DataFrame, smoothing: float = SMOOTHING, bits: int = BITS, significance: float = SIGNIFICANCE) -> np.ndarray | None:
-    """The log ratio of each bucket; None if no document is labelled as good."""
+class Model:
+    """Counts by bucket (rows raw, target, docs, target_docs), and how many documents and good ones there are."""
+
+    def __init__(self, counts: np.ndarray, size: tuple[int, int], significance: float, smoothing: float) -> None:
+        self.counts, self.size, self.significance, self.smoothing = counts, size, significance, smoothing
+        self.total = counts[:2].sum(axis=1, dtype=np.int64)
+
+    def weights(self, at: np.ndarray | slice = slice(None), own: np.ndarray | int = 0) -> np.ndarray:
+        """The log ratios of buckets; own: counts there of one good document that is left out."""
+        raw, target, docs, target_docs = self.counts[:, at].astype(np.float64)
+        left_out, n = isinstance(own, np.ndarray), np.sum(own)
+        target, target_docs = target - own, target_docs - left_out
+        expected, expected_docs = raw * ((self.total[1] - n) / self.total[0]), docs * ((self.size[1] - left_out) / self.size[0])
+        differs = np.abs(target_docs - expected_docs) >= self.significance * np.sqrt(expected_docs + 1)
+        return np.where(differs, np.log((target + self.smoothing) / (expected + self.smoothing)), 0.0).astype(np.float32)
+
+
+def _left_out(held: object, bits: int) -> Callable:
+    """(key, good) of labelled documents, each good one judged without its own counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, powers = Model(*held.value), Powers()
+        every = model.weights()
+        for b in batches:
+            good, total, some = np.asarray(b.column("good").to_numpy(zero_copy_only=False), bool), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            for lo, buckets, before in features(b.column("text"), powers, bits):
+                for k, (a, z) in enumerate(zip(before[:-1], before[1:]), lo):
+                    at, n = np.unique(buckets[a:z], return_counts=True)
+                    some[k] = len(at)
+                    total[k] = (model.weights(at, n) if good[k] else every[at]).astype(np.float64) @ n
+            yield pa.RecordBatch.from_arrays([pa.array((total + _gumbel(b.column("seed")))[some]), pa.array(good[some])], names=["key", "good"])
+
+    return run
+
+
+def fit(slim: DataFrame, labelled: DataFrame, smoothing: float = SMOOTHING, bits: int = BITS, significance: float = SIGNIFICANCE) -> Model | None:
+    """None if no document is labelled as good."""
     marked = slim.join(F.broadcast(labelled.where("good")), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     names = ["raw", "target", "docs", "target_docs"]
     counted = marked.mapInArrow(_counter(bits), "bucket int, raw long, target long, docs long, target_docs long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     size = marked.agg(F.count_if(F.length("text") > 0), F.count_if((F.length("text") > 0) & F.col("good"))).first()
-    held = np.zeros((4, 1 << bits))
+    held = np.zeros((4, 1 << bits), np.int64)
     for i, c in enumerate(names if counted.num_rows else []):
         held[i, counted["bucket"].to_numpy()] = counted[c].to_numpy()
-    raw, target, docs, target_docs = held
-    if target.sum() == 0:
-        return None
-    expected, expected_docs = raw * (target.sum() / raw.sum()), docs * (size[1] / size[0])
-    differs = np.abs(target_docs - expected_docs) >= significance * np.sqrt(expected_docs + 1)
-    return np.where(differs, np.log((target + smoothing) / (expected + smoothing)), 0.0).astype(np.float32)
+    return Model(held, tuple(size), significance, smoothing) if held[1].any() else None
 
 
 def least_key(keys: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
@@ -166,13 +202,15 @@ def top_k(scored: DataFrame, k: int, by: str = "key") -> DataFrame:
     ties = scored.where(F.col(by).between(F.lit(lo), F.lit(hi)))
     if by == "doc_id" or ties.count() <= need:
         return above.union(ties)
-    return above.union(top_k(ties.withColumn("_id", -F.col("doc_id")), need, "_id").drop("_id"))
+    return above.union(numbered(ties, lambda t: top_k(t.withColumn("_id", -F.col("doc_id")), need, "_id").drop("_id")))
 
 
-def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED, k: int | None = None) -> DataFrame:
     """(doc_id, n_grams, log_weight, key) of the sampled documents.
 
-    share: of documents with any token, to keep; None finds k by the labelled documents. Null,
+    k: how many documents to keep, or share: which part of those with any token; None finds k by
+    the labelled documents, each left out of the model that judges it. If all of these are good, all
+    documents with a token are kept. Ids may have any type, that of labels being docs' own. Null,
     empty and blank texts have no n-grams and are never sampled; rows with a null doc_id aren't
     either, and rows that share one are one document, with the least of their texts that isn't null
     or empty. Without any good label there is no target,
@@ -181,21 +219,23 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_l
     """
     slim = id_and_text(docs, nulls_last=True)
     labelled = cut(chosen(labels, max_labelled))
-    model = fit(slim, labelled)
-    held = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << BITS, np.float32) if model is None else model)
-    scored = cut(slim.mapInArrow(_scorer(held, BITS), "doc_id long, n_grams long, log_weight double, key double").where("n_grams > 0"))
+    model, sc = fit(slim, labelled), docs.sparkSession.sparkContext
+    held = sc.broadcast(np.zeros(1 << BITS, np.float32) if model is None else model.weights())
+    seed = F.col("doc_id") if whole(docs) else F.xxhash64("doc_id")
+    scored = cut(slim.select("*", seed.alias("seed")).mapInArrow(_scorer(held, BITS), f"doc_id {id_type(docs)}, n_grams long, log_weight double, key double").where("n_grams > 0"))
     if model is None:
         return scored
-    if share is not None:
-        return scored if share >= 1 else top_k(scored, round(share * scored.count()))
-    known = scored.join(F.broadcast(labelled), "doc_id").select("key", "good").toArrow()
+    if share is not None or k is not None:
+        return scored if k is None and share >= 1 else top_k(scored, round(share * scored.count()) if k is None else k)
+    counts = sc.broadcast((model.counts.astype(np.int32) if model.counts.max() < 1 << 31 else model.counts, model.size, model.significance, model.smoothing))
+    known = slim.select("*", seed.alias("seed")).join(F.broadcast(labelled), "doc_id").mapInArrow(_left_out(counts, BITS), "key double, good boolean").toArrow()
     return scored.where(F.col("key") >= least_key(known["key"].to_numpy(), known["good"].to_numpy()))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, share: float | None = None, max_labelled: int = MAX_LABELLED, k: int | None = None) -> DataFrame:
     """docs without those that sample() leaves out. Rows with a null doc_id stay; all columns stay as they are."""
-    kept = sample(docs, labels, share, max_labelled).select("doc_id")
-    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    kept = sample(docs, labels, share, max_labelled, k).select("doc_id")
+    every = docs.where("doc_id is not null").select(as_id(docs).alias("doc_id")).distinct()
     return without(docs, cut(every.join(kept, "doc_id", "left_anti")))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans
-from quern.llm._io import id_and_text, table
+from quern.llm._io import id_and_text, numbered, table, whole
 
 MIN_WORDS = 8
 MIN_PASSAGE = 20
@@ -161,8 +161,11 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line",
 
     Null text counts as empty and gives ''. Rows with a null doc_id are left out, rows that share
     one are one document with the least of their texts. Repeats within one document go like any
-    other. Documents without repeats come back as they are. Other columns don't matter.
+    other. Documents without repeats come back as they are. Ids may have any type that can be
+    ordered. Other columns don't matter.
     """
+    if not whole(docs):
+        return numbered(docs, lambda d: dedup_units(d, min_words, unit, min_passage, window))
     gone = repeats(docs, min_words, unit, min_passage, window).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     joined = id_and_text(docs).join(gone, "doc_id", "left")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["end"]))

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from quern.llm import lattice
 from quern.llm._bytes import Powers
@@ -34,6 +35,21 @@ def _counter(held: object) -> Callable:
     return run
 
 
+def added(df: DataFrame, name: str, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
+    """df with the number of tokens of its column text, which is no null, row by row."""
+    held = df.sparkSession.sparkContext.broadcast(lattice.load(vocabulary).parts())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, powers = lattice.Vocabulary(*held.value), Powers()
+        score = lattice.zipf(vocab.size)
+        for b in batches:
+            texts, word, row = lattice.words(b.column("text"), powers)
+            n = np.bincount(row, weights=lattice.viterbi(texts, vocab, score)[1][word], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64))], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens, log_prob) a document; log_prob is that of the best segmentation.
 

@@ -18,6 +18,8 @@ ROWS = [
     (9, "zwei", "de", "b"),
     (9, "drei", "de", "a"),
 ]
+#: One word of 100,000 signs, as text without white space has it.
+UNSPACED = (10, "東京ab" * 25_000, "de", "a")
 SCHEMA = "doc_id long, text string, lang string, source string"
 CLASHES = ("key", "rep", "size", "rate", "root", "id", "word", "row", "h", "span", "copy", "copies", "tokens", "part", "parts", "found", "good", "payload", "n", "_gone", "_id")
 

@@ -5,7 +5,7 @@ import messy
 
 from quern.llm import decontam, ngram_join, quality
 
-TOKEN = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
+TOKEN = re.compile(r"[0-9a-z_\u0080-\u009f\u00aa\u00b5\u00ba\u00c0-\u1fff\u2070-\u2fff\u3005-\u3007\u3040-\U0010ffff]+")
 
 
 def brute_tiles(item, doc, m):
@@ -121,3 +121,19 @@ def test_a_null_row_does_not_stand_for_its_document(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r.doc_id for r in quality.keep_sampled(d, labels).collect()) == [1, 1, 2, 2]
     assert [(r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()] == [(1, text)]
+
+
+def test_signs_of_typography_are_no_words(spark):
+    item = "he said that it was not the end of it all"
+    d, b = frames(spark, {1: "“he said”—that\u00a0it was… «not the end» of it all’", 2: "„he said that it was“, then"}, {9: item})
+    assert [(r.doc_id, r.covered_tokens) for r in decontam.contamination(d, b).collect()] == [(1, 11)]
+    assert [(r.a, r.b) for r in ngram_join.jaccard_pairs(messy.table(spark, item, "“he said”—that\u00a0it was… «not the end» of it all’")).collect()] == [(1, 0)]
+
+
+def test_ids_of_any_type(spark):
+    item = "one two three four five six seven eight"
+    d = spark.createDataFrame([("a-b", f"x {item}"), ("c", "clean"), (None, item)], "doc_id string, text string")
+    b = spark.createDataFrame([("q/1", item), (None, item)], "item_id string, text string")
+    for chars in (decontam.BROADCAST_CHARS, 0):
+        assert [(r.doc_id, r.item_id, r.coverage) for r in decontam.contamination(d, b, broadcast_chars=chars).collect()] == [("a-b", "q/1", 1.0)]
+    assert sorted(r.doc_id or "" for r in decontam.drop_contaminated(d, b).collect()) == ["", "c"]

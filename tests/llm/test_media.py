@@ -73,3 +73,9 @@ def test_messy(spark):
     assert sorted(rows) == [1, 2, 4, 5, 6, 7, 8, 9] and all(r.verified for r in rows.values())
     assert rows[4].n_chunks == 0 and rows[2].n_new == 0 and bytes(rows[9].payload) == b"drei"
     assert media.reconstruct(media.payloads(d.limit(0), "doc_id", "text")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    d = spark.createDataFrame([("p/2", "the same " * 200), ("p/1", "the same " * 200), (None, "x")], "page string, html string")
+    rows = {r.id: r for r in media.reconstruct(media.payloads(d, "page", "html")).collect()}
+    assert sorted(rows) == ["p/1", "p/2"] and all(r.verified for r in rows.values()) and (rows["p/1"].new_bytes, rows["p/2"].new_bytes) == (1800, 0)

@@ -1,15 +1,13 @@
 import math
 import random
-import re
 from collections import Counter, defaultdict
 
 import messy
 import numpy as np
 from pyspark.sql import functions as F
 
-from quern.llm import mixing
+from quern.llm import mixing, token_counts
 
-TOKEN = re.compile(r"\w+|[^\s\w]")
 
 
 def corpus(spark, n=900):
@@ -85,12 +83,12 @@ def test_sources_without_weight_get_nothing(spark):
 
 def test_query_meets_its_targets(spark, sf):
     rows = mixing.op1(spark, sf).collect()
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.op3(spark, sf).collect()}
     tokens, tilted = Counter(), Counter()
     for r in rows:
         tokens[r.source] += r.tokens
         tilted[r.source] += r.tokens * r.rate
-    assert len(rows) == len(docs) and all(r.tokens == len(TOKEN.findall(docs[r.doc_id].text)) for r in rows if docs[r.doc_id].text.isascii())
+    assert {r.doc_id: r.tokens for r in rows} == counted
     raw = {s: t**mixing.TEMPERATURE for s, t in tokens.items() if t}
     assert all(abs(tilted[s] / sum(tokens.values()) - raw[s] / sum(raw.values())) < 1e-6 for s in raw)
 
@@ -104,3 +102,21 @@ def test_messy(spark):
     assert mixing.copies(d.limit(0)).count() == mixing.mix(d.limit(0)).count() == 0
     blank = d.withColumn("text", F.lit(""))
     assert {r.rate for r in mixing.copies(blank).collect()} == {0.0} and mixing.mix(blank).count() == 0
+
+
+def test_many_sources_and_ids_of_any_type(spark):
+    """Every source meets its target, with one language and with two, whatever their number."""
+    rng = random.Random(3)
+    rows = [(f"d-{i}", " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["en", "de"]), f"host{i % 400}", 2 * i + 1) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, size int")
+    got = mixing.copies(d, tokens="size").collect()
+    assert {r.doc_id: r.tokens for r in got} == {r[0]: r[4] for r in rows}
+    total, tilted = Counter(), Counter()
+    for r in got:
+        total[r.source] += r.tokens
+        tilted[r.source] += r.tokens * r.rate
+    raw = {s: t**mixing.TEMPERATURE for s, t in total.items()}
+    assert all(abs(tilted[s] / sum(total.values()) - raw[s] / sum(raw.values())) < 1e-9 for s in raw)
+    want = solve(np.array([r[4] for r in rows], float), [r[3] for r in rows], [r[2] for r in rows], {s: raw[s] / sum(raw.values()) * sum(total.values()) for s in raw})
+    rate = {r.doc_id: r.rate for r in got}
+    assert max(abs(rate[r[0]] / w - 1) for r, w in zip(rows, want)) < 1e-5

@@ -10,7 +10,7 @@ from quern.llm import ngram_join
 
 
 def grams(text, n=3):
-    words = re.findall(r"[0-9a-z_\u0080-\U0010ffff]+", (text or "").lower())
+    words = re.findall(r"[0-9a-z_\u0080-\u009f\u00aa\u00b5\u00ba\u00c0-\u1fff\u2070-\u2fff\u3005-\u3007\u3040-\U0010ffff]+", (text or "").lower())
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 

@@ -152,6 +152,7 @@ def test_token_counts_messy(spark):
     assert sorted(rows) == list(range(1, 10))
     assert [rows[i].n_tokens for i in (3, 4, 5)] == [0, 0, 0] and rows[6].n_words == 40_000
     assert token_counts.count_tokens(messy.docs(spark).limit(0)).count() == 0
+    assert token_counts.count_tokens(messy.docs(spark, [messy.UNSPACED])).first().n_words == 1
 
 
 def test_languages_of_held_out_documents(spark):
@@ -180,6 +181,7 @@ def test_languages_messy(spark):
     assert sorted(rows) == list(range(1, 10)) and all(tuple(rows[i])[1:] == (None, None, None) for i in (3, 4, 5))
     assert {rows[i].lang for i in (1, 2, 6, 7, 8, 9)} <= {"en", "de"}
     assert langid.identify(d.limit(0)).count() == 0
+    assert {r.doc_id: r.lang for r in langid.identify(messy.docs(spark, [*messy.ROWS[:3], messy.UNSPACED])).collect()}[10] == "de"
     assert {r.lang for r in langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
 
 
@@ -192,3 +194,9 @@ def test_long_words_count_in_the_fit():
     alone = lattice.expected(words[-1:], counts[:1], SMALL, logp)
     assert np.allclose(size @ alone + alone[-1], len(words[-1]))
     assert np.allclose(whole - lattice.expected(words[:-1], counts[:-1], SMALL, logp), alone)
+
+
+def test_ids_of_any_type(spark):
+    d = spark.createDataFrame([("a-b", "the cat and the dog", "en"), ("c", "der Hund und die Katze", "de")], "doc_id string, text string, lang string")
+    assert {r.doc_id: r.n_words for r in token_counts.count_tokens(d).collect()} == {"a-b": 5, "c": 5}
+    assert {r.doc_id: r.lang for r in langid.identify(d).collect()} == {"a-b": "en", "c": "de"}

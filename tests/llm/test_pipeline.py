@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, sf):
             if len(own & r) * 5 >= decontam.COVERAGE * len(t) and sum(x[2] for x in brute_tiles(t, doc, 5)) >= decontam.COVERAGE * len(t):
                 now.discard(i)
                 break
-    key = pii.DEMO_KEY.encode()
+    key = pii._key(spark, None)
     want = {i: pii.replace(held[i], key, {})[0] for i in now}
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

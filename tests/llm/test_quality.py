@@ -100,3 +100,38 @@ def test_messy(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == kept | {None}
     assert {r.doc_id for r in quality.sample(d, labels.limit(0)).collect()} == {1, 2, 6, 7, 8, 9}
     assert quality.sample(d.limit(0), labels).count() == quality.keep_sampled(d.limit(0), labels).count() == 0
+
+
+def test_k_and_ids_of_any_type(spark):
+    docs, labels = corpus(spark)
+    docs, labels = (x.withColumn("doc_id", F.concat(F.lit("d-"), "doc_id")) for x in (docs, labels))
+    every = sorted(((r.key, r.doc_id) for r in quality.sample(docs, labels, share=1.0).collect()), reverse=True)
+    assert len(every) == 600 and {r.doc_id for r in quality.sample(docs, labels, k=100).collect()} == {i for _, i in every[:100]}
+    kept = {int(r.doc_id[2:]) for r in quality.keep_sampled(docs, labels).collect()}
+    assert sum(i % 4 != 0 for i in kept) >= 0.97 * 450 and sum(i % 4 == 0 for i in kept) <= 0.2 * 150
+
+
+def test_op8_query(spark):
+    """The registered query keeps what its own key says, and of the labels that set the cut most good ones and few others."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {r.doc_id: r for r in quality.op8(spark, d).collect()}
+    every = {r.doc_id for r in docs.where("trim(text) <> ''").collect()}
+    assert set(rows) <= every and len(rows) > 0.5 * len(every)
+    good = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in labels.collect()}
+    held = [i for i in good if i in every]
+    assert np.mean([i in rows for i in held if good[i]]) >= 0.95 and np.mean([i in rows for i in held if not good[i]]) <= 0.5
+
+
+def test_a_labelled_document_is_judged_by_a_model_without_it(spark):
+    """Its key is that of a fit in which its label is missing."""
+    docs, labels = corpus(spark)
+    slim, labelled = docs, quality.chosen(labels)
+    model = quality.fit(slim, labelled)
+    good = [r.doc_id for r in labelled.where("good").orderBy("doc_id").limit(3).collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i in good:
+        without = quality.fit(slim, labelled.where(F.col("doc_id") != i))
+        (_, b, _), = quality.features(pa.array([texts[i]]), Powers())
+        at, n = np.unique(b, return_counts=True)
+        assert np.allclose(model.weights(at, n), without.weights(at)) and not np.allclose(model.weights(at), without.weights(at))

@@ -136,3 +136,9 @@ def test_short_lines_that_repeat(spark, tmp_path):
     messy.table(spark, *held).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.removed) for r in substring.op4_passages(spark, str(tmp_path)).collect()}
     assert got == {0: (held[0], ""), 1: ("one\n...\ntwo", "4-17"), 2: (held[2], ""), 3: ("four\n", "5-14")}
+
+
+def test_ids_of_any_type(spark):
+    line = "one two three four five six seven eight nine"
+    d = spark.createDataFrame([("b", f"{line}\nown text"), ("a-c", f"first\n{line}"), (None, line)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in substring.dedup_units(d).collect()) == [("a-c", f"first\n{line}", 0), ("b", "own text", 1)]
