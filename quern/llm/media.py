@@ -196,8 +196,8 @@ def reconstruct(media: DataFrame, least: int = LEAST, most: int = MOST, level: i
     own = dealt.mapInArrow(_dealer(held, False, least, most, level), "key long, payload binary").withColumnsRenamed({"key": "id", "payload": "own"})
     lent = dealt.mapInArrow(_dealer(held, True, least, most, level), "key binary, payload binary").withColumnRenamed("key", "digest")
     borrowed = refs.where("role = 2").select("digest", "id", "seq").join(lent, "digest").groupBy("id").agg(F.collect_list(F.struct("seq", "payload")).alias("lent"))
-    whole = lists.select("id", "size", "sha", "lengths").join(own, "id").join(roles, "id", "left").join(borrowed, "id", "left")
-    return whole.select("id", "size", "sha", "lengths", "own", "roles", "lent").mapInArrow(_assemble, "id long, size long, n_chunks int, n_new int, new_bytes long, payload binary, verified boolean")
+    joined = lists.select("id", "size", "sha", "lengths").join(own, "id").join(roles, "id", "left").join(borrowed, "id", "left")
+    return joined.select("id", "size", "sha", "lengths", "own", "roles", "lent").mapInArrow(_assemble, "id long, size long, n_chunks int, n_new int, new_bytes long, payload binary, verified boolean")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
