@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
 
@@ -97,27 +98,27 @@ def vocabulary(texts: list[str]) -> Vocabulary:
 def words(col: pa.Array, powers: Powers) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens of a text column in order; for each occurrence its word, and its row."""
     seen: dict[int, bytes] = {}
-    keys, rows = [], []
+    keys, places, rows = [], [], []
     for lo, _, data, at in pieces(col):
         s, e, first = spans(data, at, SOLID)
-        h = hashes(data, s, e, powers)
-        own, where = np.unique(h, return_index=True)
+        own, where, place = np.unique(hashes(data, s, e, powers), return_index=True, return_inverse=True)
         held = data.tobytes()
         for k, a, z in zip(own.tolist(), s[where].tolist(), e[where].tolist()):
             if k not in seen:
                 seen[k] = held[a:z]
-        keys.append(h)
+        keys.append(own)
+        places.append(place)
         rows.append(lo + np.repeat(np.arange(len(first) - 1), np.diff(first)))
     if not seen:
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.fromiter(seen.keys(), U, len(seen))
     texts = [MARK + b.decode("utf-8", "replace") for b in seen.values()]
-    order = sorted(range(len(texts)), key=texts.__getitem__)
+    order = pc.sort_indices(pa.array(texts, pa.large_string())).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     by = np.argsort(key)
-    found = by[np.searchsorted(key[by], np.concatenate(keys))]
-    return [texts[i] for i in order], rank[found], np.concatenate(rows)
+    found = [rank[by[np.searchsorted(key[by], own)]][place] for own, place in zip(keys, places)]
+    return [texts[i] for i in order], np.concatenate(found), np.concatenate(rows)
 
 
 def blocks(sorted_words: list[str], size: int) -> Iterator[tuple[int, int]]:
@@ -148,24 +149,21 @@ class Stretch:
     shared: list[tuple[np.ndarray, np.ndarray]]
 
 
-def shared_prefixes(sorted_words: list[str]) -> np.ndarray:
+def shared_prefixes(sorted_words: list[str], points: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
     """How many characters each word has in common with the word before."""
-    out = np.zeros(len(sorted_words), np.int64)
-    for i in range(1, len(sorted_words)):
-        a, b = sorted_words[i - 1], sorted_words[i]
-        n = 0
-        if a[:8] == b[:8]:
-            lo, hi = 0, min(len(a), len(b))
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
-            n = lo
-        else:
-            for x, y in zip(a, b):
-                if x != y:
-                    break
-                n += 1
-        out[i] = n
+    out = np.zeros(len(size), np.int64)
+    least = np.minimum(size[1:], size[:-1])
+    alike = np.arange(1, len(size))
+    for d in range(32):
+        alike = alike[least[alike - 1] > d]
+        alike = alike[points[off[alike] + d] == points[off[alike - 1] + d]]
+        out[alike] = d + 1
+    for i in alike.tolist():
+        a, b, lo, hi = sorted_words[i - 1], sorted_words[i], 32, int(least[i - 1])
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+        out[i] = lo
     return out
 
 
@@ -175,7 +173,7 @@ def stretches(sorted_words: list[str], vocab: Vocabulary, powers: Powers, share:
     size = np.fromiter(map(len, sorted_words), np.int64, len(sorted_words))
     off = np.cumsum(size) - size
     total, back = text_hash(points, powers), np.arange(vocab.longest)
-    alike = shared_prefixes(sorted_words) if share else np.zeros(len(size), np.int64)
+    alike = shared_prefixes(sorted_words, points, off, size) if share else np.zeros(len(size), np.int64)
     d, lanes = 1, np.arange(len(size))
     while len(keep := np.flatnonzero(size[lanes] >= d)):
         if len(keep) < len(lanes):
