@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,26 +72,33 @@ def pieces_of(token: str, vocab: dict[str, int], unknown: str = "[UNK]", longest
 
 
 def wordpiece(df: DataFrame, tokens: str, vocab: dict[str, int], out: str = "pieces", ids: str | None = "ids", unknown: str = "[UNK]", longest: int = LONGEST_WORD) -> DataFrame:
-    """df with the pieces of an array of pre-tokens, and their ids; tokens are put in lower case here."""
+    """df with the pieces of an array of pre-tokens, and their ids; tokens are put in lower case
+    here, and no array counts as an empty one. Each distinct token is cut once a batch."""
     held = df.sparkSession.sparkContext.broadcast(vocab)
     missing = special_ids(vocab)["[UNK]"]
 
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, known = held.value, {}
-        for s in it:
-            rows = []
-            for tokens in s:
-                row = []
-                for t in [] if tokens is None else tokens:
-                    if t not in known:
-                        known[t] = pieces_of(t.lower(), words, unknown, longest)
-                    row += known[t]
-                rows.append((row, [words.get(p, missing) for p in row]))
+        for col in it:
+            size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = col.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            for t in distinct:
+                if t not in known:
+                    known[t] = pieces_of(t.lower(), words, unknown, longest)
+            each = [known[t] for t in distinct]
+            flat = [p for row in each for p in row]
+            n = np.fromiter(map(len, each), np.int64, len(each))
+            code = coded.indices.to_numpy()
+            start, many = (np.cumsum(n) - n)[code], n[code]
+            take = pa.array(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+            edge = pa.array(np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(size)]].astype(np.int32))
+            values = pa.array(flat, pa.string()), pa.array([words.get(p, missing) for p in flat], pa.int64())
             if len(known) > 1_000_000:
                 known.clear()
-            yield pd.DataFrame(rows, columns=["pieces", "ids"])
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, v.take(take)) for v in values], ["pieces", "ids"])
 
-    cut = F.pandas_udf(run, "pieces array<string>, ids array<bigint>")
+    cut = F.arrow_udf(run, "pieces array<string>, ids array<bigint>")
     done = df.withColumn("_cut", cut(tokens)).withColumn(out, F.col("_cut.pieces"))
     return (done.withColumn(ids, F.col("_cut.ids")) if ids else done).drop("_cut")
 
@@ -106,6 +115,12 @@ def special_ids(vocab: dict[str, int]) -> dict[str, int]:
 def windows(content: Column, max_length: int = MAX_LENGTH) -> Column:
     """Windows of an array of content tokens: all of it if it fits with two marks, else overlapping
     ones, the last of them even where the one before already holds it."""
+    # As a variable of a function content is worked out once, however many windows there are.
+    return F.transform(F.array(content), lambda c: windows_of(c, max_length))[0]
+
+
+def windows_of(content: Column, max_length: int = MAX_LENGTH) -> Column:
+    """As windows, for a column that is there already: an expression would be worked out for each window."""
     fits = max_length - 2
     width, stride = fits - 1, fits - fits // 10
     many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(content) - 1, F.lit(0)), F.lit(stride)), lambda i: F.slice(content, i + 1, width))
@@ -121,7 +136,7 @@ def token_chunks(df: DataFrame, text: str, vocab: dict[str, int], max_length: in
     has one window, the two marks alone; null counts as empty."""
     ids = special_ids(vocab)
     d = df.withColumn("_pre", pretokens(clean(F.coalesce(F.col(text), F.lit("")))))
-    d = wordpiece(d, "_pre", vocab, "_pieces", "_ids").withColumn("_chunks", F.arrays_zip(windows(F.col("_pieces"), max_length).alias("t"), windows(F.col("_ids"), max_length).alias("i")))
+    d = wordpiece(d, "_pre", vocab, "_pieces", "_ids").withColumn("_chunks", F.arrays_zip(windows_of(F.col("_pieces"), max_length).alias("t"), windows_of(F.col("_ids"), max_length).alias("i")))
     d = d.select(*df.columns, F.posexplode("_chunks").alias("chunk_no", "_c"))
     return d.select(*df.columns, "chunk_no", with_marks(F.col("_c.t"), "[CLS]", "[SEP]").alias("tokens"), with_marks(F.col("_c.i"), ids["[CLS]"], ids["[SEP]"]).cast("array<bigint>").alias("ids"))
 

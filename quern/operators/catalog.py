@@ -6,7 +6,7 @@ rest of a definition as VARIANT, ord the order of declaration.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENDPOINTS = "array<struct<kind:string,path:string>>"
@@ -74,6 +74,31 @@ def draft_elements(entities: DataFrame) -> DataFrame:
     return entities.where("draft_enabled").select(F.col("name").alias("def_name"), F.explode(rows).alias("e")).select("def_name", "e.*")
 
 
+def lookup(df: DataFrame, key: str, value: object, columns: list[str]) -> DataFrame:
+    """The row with a key, its key and some columns; no row if there is none."""
+    return df.where(F.col(key) == F.lit(value)).select(key, *columns).limit(1)
+
+
+def take_orders(stock: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stock (id, stock) after orders (book, quantity, at, …), and the orders that were met, as events.
+
+    Orders are taken by at. One below 1, or of a book that isn't there, is refused; of a book's others
+    those are met that the stock meets together with all before them. Parquet has no update in place:
+    the new stock is a table to put in the old one's place, the events are rows to append to a sink.
+    """
+    valid = orders.where("quantity >= 1").join(stock.withColumnRenamed("id", "book"), "book")
+    upto = F.sum("quantity").over(Window.partitionBy("book").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    met = valid.withColumn("_upto", upto).where(F.col("_upto") <= F.col("stock"))
+    sold = met.groupBy(F.col("book").alias("id")).agg(F.max("_upto").alias("_sold"))
+    left = stock.join(sold, "id", "left").withColumn("stock", F.col("stock") - F.coalesce("_sold", F.lit(0)))
+    return left.drop("_sold"), met.drop("stock", "_upto")
+
+
+def emit(events: DataFrame, sink: str) -> None:
+    """Appends events to a sink; readers see a call's events all at once."""
+    events.write.mode("append").parquet(sink)
+
+
 def changes(old: DataFrame, new: DataFrame, key: str = "path", value: str = "mtime") -> DataFrame:
     """(key, change) of what differs between two snapshots: added, removed or changed."""
     o, n = old.select(F.col(key), F.col(value).alias("_old"), F.lit(True).alias("_in_old")), new.select(F.col(key), F.col(value).alias("_new"), F.lit(True).alias("_in_new"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ def hash_model(dim: int = 384) -> Callable[[], Model]:
     return start
 
 
-def onnx_model(path: str) -> Callable[[], Model]:
-    """A model file with the inputs input_ids, attention_mask and token_type_ids, loaded once a task."""
+def onnx_model(path: str, spark: SparkSession | None = None) -> Callable[[], Model]:
+    """A model file with the inputs input_ids, attention_mask and token_type_ids, loaded once a
+    task. With a session the file is sent to the executors; else all of them have it at path."""
+    if spark is not None:
+        spark.sparkContext.addFile(path)
+    sent, name = spark is not None, os.path.basename(path)
 
     def start() -> Model:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        session = onnxruntime.InferenceSession(SparkFiles.get(name) if sent else path, providers=["CPUExecutionProvider"])
 
         def run(ids: np.ndarray) -> np.ndarray:
             x = ids.astype(np.int64)[None, :]
@@ -71,7 +77,7 @@ def embed(df: DataFrame, text: str, vocab: dict[str, int], start: Callable[[], M
 
     d = df.withColumn("_pre", tx.pretokens(tx.clean(F.coalesce(F.col(text), F.lit("")))))
     d = tx.wordpiece(d, "_pre", vocab, "_pieces", "_ids")
-    marked = F.transform(tx.windows(F.col("_ids")), lambda w: tx.with_marks(w, ids["[CLS]"], ids["[SEP]"]).cast("array<bigint>"))
+    marked = F.transform(tx.windows_of(F.col("_ids")), lambda w: tx.with_marks(w, ids["[CLS]"], ids["[SEP]"]).cast("array<bigint>"))
     checked = F.when(F.forall(marked, tx.ids_are_numbers), marked).otherwise(F.raise_error(F.lit("a token has no numeric id")))
     return d.withColumn(out, F.pandas_udf(run, "array<float>")(checked)).drop("_pre", "_pieces", "_ids")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import fuzzy, vectors
 
-#: Values in the queries of a batch up to which every task gets them all.
-BROADCAST_VALUES = 16 << 20
+#: Values in the queries that a pass over the vectors takes, and in a block that is multiplied at once.
+PASS_VALUES = 16 << 20
+BLOCK_VALUES = 1 << 20
 
 
 def normalise_n(n: object = None) -> int | None:
@@ -76,41 +77,53 @@ def search_vectors(df: DataFrame, query: Sequence[float], n: object = None, vec:
     return first_n(with_similarity(df, query, vec, norm), similarity_order(order), n)
 
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, vec: str, query_key: str = "query_id", query_vec: str = "query", broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, vec: str, query_key: str = "query_id", query_vec: str = "query", pass_values: int = PASS_VALUES, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(query_key, key, similarity, rank) of the k nearest rows to each query, exactly; vectors of one length.
 
-    Each task multiplies its vectors with all queries and keeps k of each, so k rows a query and
-    task are shuffled and not the product. With more query values than broadcast_values the pairs
-    are joined and ranked by a window instead."""
+    Each task multiplies blocks of its vectors with blocks of queries and keeps k of each query, so k
+    rows a query and task are shuffled and not the product. Queries are taken in passes over df, by
+    the hash of their key, of about pass_values values each: what a task gets is bounded."""
     w = Window.partitionBy(query_key).orderBy(*similarity_order(key))
-    size = queries.agg(F.sum(F.size(query_vec))).first()[0] or 0
-    if size > broadcast_values:
-        pairs = queries.select(query_key, query_vec).crossJoin(df.select(key, vec)).withColumn("similarity", vectors.cosine(F.col(query_vec), F.col(vec)))
-        return pairs.select(query_key, key, "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    held = queries.select(query_key, query_vec).toArrow()
-    ids = held[query_key].to_pylist()
-    q = np.array(held[query_vec].to_pylist(), np.float64).reshape(len(ids), -1)
+    size = queries.agg(F.sum(F.size(query_vec).cast("long"))).first()[0] or 0
+    passes = -(-size // pass_values)
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}, similarity double"
+    best = df.sparkSession.createDataFrame([], schema)
+    for n in range(passes):
+        part = queries.select(query_key, query_vec) if passes == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == n).select(query_key, query_vec)
+        held = part.toArrow()
+        if held.num_rows:
+            q = np.array(held[query_vec].to_pylist(), np.float64).reshape(held.num_rows, -1)
+            own = df.select(key, vec).mapInArrow(_nearest(held[query_key].combine_chunks(), q, k, [query_key, key, "similarity"], block_values), schema)
+            best = own if passes == 1 else best.union(own)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(ids: pa.Array, q: np.ndarray, k: int, names: list[str], block_values: int) -> Callable:
+    rows = max(1, block_values // max(1024, q.shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sims = None, None
-        qn = np.sqrt((q * q).sum(axis=1))
+        size = np.sqrt((q * q).sum(axis=1))
+        blocks = [slice(lo, min(lo + rows, len(q))) for lo in range(0, len(q), rows)]
+        kept: list[tuple | None] = [None] * len(blocks)
         for b in batches:
-            m = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if not len(m) or not len(ids):
-                continue
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (q @ m.T) / (qn[:, None] * np.sqrt((m * m).sum(axis=1)))
-            own = np.broadcast_to(b.column(0).to_numpy(), s.shape)
-            keys, sims = (own, s) if keys is None else (np.hstack([keys, own]), np.hstack([sims, s]))
-            o = np.lexsort((keys, -np.where(np.isnan(sims), -np.inf, sims)), axis=1)[:, :k]
-            keys, sims = np.take_along_axis(keys, o, 1), np.take_along_axis(sims, o, 1)
-        if keys is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), keys.shape[1]).astype(np.int32)), pa.array(keys.ravel()), pa.array(sims.ravel())], names=["_q", key, "similarity"])
-
-    kind = df.schema[key].dataType.simpleString()
-    best = df.select(key, vec).mapInArrow(run, f"_q int, {key} {kind}, similarity double")
-    named = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("_q") + 1) if ids else F.lit(None)
-    return best.select(named.cast(queries.schema[query_key].dataType).alias(query_key), key, "similarity").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            for lo in range(0, b.num_rows, 1024):
+                some = b.slice(lo, 1024)
+                m, keys = np.array(some.column(1).to_pylist(), np.float64).reshape(some.num_rows, -1), some.column(0).to_numpy(zero_copy_only=False)
+                length = np.sqrt((m * m).sum(axis=1))
+                for x, at in enumerate(blocks):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = (q[at] @ m.T) / (size[at, None] * length)
+                    own = np.broadcast_to(keys, s.shape)
+                    if kept[x]:
+                        own, s = np.hstack([kept[x][0], own]), np.hstack([kept[x][1], s])
+                    o = np.lexsort((own, -np.where(np.isnan(s), -np.inf, s)), axis=1)[:, :k]
+                    kept[x] = np.take_along_axis(own, o, 1), np.take_along_axis(s, o, 1)
+        for at, best in zip(blocks, kept):
+            if best:
+                of = np.repeat(np.arange(at.start, at.stop), best[0].shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(best[0].ravel()), pa.array(best[1].ravel())], names=names)
+
+    return run
 
 
 def joined_text(ranked: DataFrame, order: Sequence[Column], text: str = "content", mark: str = "\n---\n") -> DataFrame:

@@ -283,9 +283,9 @@ SELECT doc_id, string_agg(piece, ' ' ORDER BY pos, k) AS pieces, string_agg(id::
 
 @query(WORDPIECE_SQL)
 def wordpiece(spark: SparkSession, d: str) -> DataFrame:
-    pre = table(spark, d, "documents").select("doc_id", text.pretokens(F.col("text")).alias("pre")).where(F.size("pre") > 0)
+    pre = table(spark, d, "documents").select("doc_id", text.pretokens(F.col("text")).alias("pre"))
     cut = text.wordpiece(pre, "pre", VOCAB)
-    return cut.select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return cut.where(F.size("pieces") > 0).select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query(f"SELECT doc_id, (i // 459)::INTEGER AS chunk_no, least(len(t) - i, CASE WHEN len(t) <= 510 THEN 510 ELSE 509 END)::INTEGER AS n, md5(array_to_string(CASE WHEN len(t) <= 510 THEN t ELSE t[i + 1:i + 509] END, ' ')) AS digest FROM (SELECT doc_id, t, unnest(CASE WHEN len(t) <= 510 THEN [0] ELSE range(0, len(t), 459) END) AS i FROM (SELECT doc_id, {PRE.format('text')} AS t FROM documents))")
@@ -449,13 +449,15 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="quern-")
 
 
-@query()
+@query("SELECT vec_id::INTEGER AS ord, 'chunk ' || vec_id AS content, len(embedding)::INTEGER AS n, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def vecstore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The embeddings as a pair of files, read again."""
     folder = scratch(spark)
     e = table(spark, d, "embeddings")
     vecstore.export_pair(e.select(F.col("vec_id").cast("int").alias("ord"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("content"), "embedding"), "all", folder)
-    return vecstore.chunks(spark, "all", folder)
+    back = vecstore.chunks(spark, "all", folder)
+    e = F.col("embedding").cast("array<double>")
+    return back.select("ord", "content", F.size("embedding").alias("n"), e[0].alias("first"), F.element_at(e, -1).alias("last"), round_to(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query()
@@ -464,7 +466,11 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     return embed.embed(table(spark, d, "benchmark").select("item_id", "text"), "text", VOCAB, embed.hash_model(32)).select("item_id", "embedding")
 
 
-@query()
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation JOIN region ON r_regionkey = n_regionkey),
+s AS (SELECT r_name, min(k) AS k, count(*) AS n FROM n GROUP BY r_name),
+each AS (SELECT k * 2 - 1 AS spot, r_name AS name, 'service' AS kind, '/' || replace(lower(r_name), ' ', '-') || '/' AS path, n AS n_exposed FROM s
+    UNION ALL SELECT k * 2, r_name || '.' || n_name, 'entity', '/' || replace(lower(r_name), ' ', '-') || '/' || n_name, NULL FROM n)
+SELECT (row_number() OVER (ORDER BY spot) - 1)::BIGINT AS ord, name, kind, path, n_exposed::INTEGER AS n_exposed FROM each""")
 def schema_ingest(spark: SparkSession, d: str) -> DataFrame:
     """A catalog of all nations as entities of their regions, through schema JSON."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -475,3 +481,37 @@ def schema_ingest(spark: SparkSession, d: str) -> DataFrame:
         defs[f"{r.r_name}.{r.n_name}"] = {"kind": "entity", "elements": {"ID": {"key": True, "type": "Integer"}, "name": {"type": "String"}}}
     built = schema_json.build(schema_json.definitions(spark.createDataFrame([(json.dumps({"definitions": defs}),)], "value string")))
     return built.select("ord", "name", "kind", F.col("endpoints")[0]["path"].alias("path"), F.size("exposed_entities").alias("n_exposed"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= 1000)")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One order by its key, and of its columns one; the filter reaches the scan."""
+    orders = table(spark, d, "orders")
+    key = orders.where("o_orderkey <= 1000").agg(F.max("o_orderkey")).first()[0]
+    return catalog.lookup(orders, "o_orderkey", key, ["o_totalprice"])
+
+
+WANTED = "SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS book, l_quantity AS quantity FROM lineitem"
+
+
+@query(f"""WITH w AS ({WANTED}), p AS (SELECT p_partkey AS id, 1000::DOUBLE AS stock FROM part),
+r AS (SELECT w.*, stock, sum(CASE WHEN quantity >= 1 THEN quantity ELSE 0 END) OVER (PARTITION BY book ORDER BY order_id, line ROWS UNBOUNDED PRECEDING) AS upto FROM w LEFT JOIN p ON id = book)
+SELECT p.id, p.stock - coalesce(max(r.upto) FILTER (WHERE r.upto <= p.stock), 0) AS stock FROM p LEFT JOIN r ON book = id GROUP BY p.id, p.stock""")
+def stock_update(spark: SparkSession, d: str) -> DataFrame:
+    """The stock of each part after the orders that it could meet, in their order."""
+    return catalog.take_orders(_stock(spark, d), _wanted(spark, d))[0]
+
+
+@query(f"""WITH w AS ({WANTED}), r AS (SELECT w.*, sum(CASE WHEN quantity >= 1 THEN quantity ELSE 0 END) OVER (PARTITION BY book ORDER BY order_id, line ROWS UNBOUNDED PRECEDING) AS upto FROM w JOIN part ON p_partkey = book)
+SELECT order_id, line, book, quantity FROM r WHERE quantity >= 1 AND upto <= 1000""")
+def order_events(spark: SparkSession, d: str) -> DataFrame:
+    """An event for each order that was met."""
+    return catalog.take_orders(_stock(spark, d), _wanted(spark, d))[1].select("order_id", "line", "book", "quantity")
+
+
+def _stock(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(1000.0).alias("stock"))
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("book"), F.col("l_quantity").alias("quantity"), F.struct("l_orderkey", "l_linenumber").alias("at"))

@@ -38,11 +38,14 @@ def definitions(text: DataFrame, column: str = "value", source: str = "the input
         raise ValueError(f"schema of {source} can't be read")
     defs = F.expr("try_variant_get(_j, '$.definitions', 'map<string,variant>')")
     keys = F.json_object_keys(F.get_json_object("_t", "$.definitions"))
-    rows = parsed.select(F.monotonically_increasing_id().alias("_file"), defs.alias("_d"), F.posexplode(declared_order(keys)).alias("ord", "name"))
+    rows = parsed.withColumn("_file", F.monotonically_increasing_id()).select("_file", defs.alias("_d"), F.posexplode(declared_order(keys)).alias("ord", "name"))
     if rows.isEmpty():
         raise ValueError(f"schema of {source} has no definitions")
     rows = rows.withColumn("body", F.expr("element_at(_d, name)"))
-    return rows.select((F.col("_file").bitwiseAND(F.lit((1 << 33) - 1)) * F.lit(1 << 24) + F.col("ord")).alias("ord"), "name", F.expr("try_variant_get(body, '$.kind', 'string')").alias("kind"), "body")
+    # Order by input partition, document and place: 19, 20 and 24 bits.
+    part, doc = F.shiftright("_file", 33), F.col("_file").bitwiseAND(F.lit((1 << 33) - 1))
+    order = F.when((part < 1 << 19) & (doc < 1 << 20), F.shiftleft(part, 44) + F.shiftleft(doc, 24) + F.col("ord")).otherwise(F.raise_error(F.lit("too many documents in the input")).cast("long"))
+    return rows.select(order.alias("ord"), "name", F.expr("try_variant_get(body, '$.kind', 'string')").alias("kind"), "body")
 
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
@@ -65,10 +68,22 @@ def all_elements(defs: DataFrame) -> DataFrame:
     return elements(defs).drop("body").unionByName(drafts)
 
 
+def with_drafts(defs: DataFrame) -> DataFrame:
+    """defs with the draft elements in the bodies of the entities that have drafts; own elements of their names stay."""
+    added = F.create_map(*[x for n, t, k in catalog.DRAFT_ELEMENTS for x in (F.lit(n), F.parse_json(F.lit(json.dumps({"key": k, "type": t} if k else {"type": t}))))])
+    own = F.coalesce(F.expr("try_variant_get(body, '$.elements', 'map<string,variant>')"), F.expr("cast(map() as map<string,variant>)"))
+    every = F.map_concat(F.map_filter(added, lambda k, v: ~F.map_contains_key(own, k)), own)
+    top = F.map_filter(F.expr("try_variant_get(body, '$', 'map<string,variant>')"), lambda k, v: k != "elements")
+    whole = F.to_variant_object(F.map_concat(top, F.create_map(F.lit("elements"), F.to_variant_object(every))))
+    return defs.withColumn("body", F.when(annotated(defs, "@odata.draft.enabled") & F.coalesce(F.col("kind") == "entity", F.lit(False)), whole).otherwise(F.col("body")))
+
+
 def build(defs: DataFrame, info: DataFrame | None = None, containment: bool = False) -> DataFrame:
-    """The whole catalog: definitions with the endpoints and exposed entities of their services.
+    """The whole catalog: definitions with their draft elements, and with the endpoints and exposed
+    entities of their services.
 
     info: (name, endpoints) of services; None reads the endpoints in the bodies."""
+    defs = with_drafts(defs)
     typed = defs.withColumn("endpoints", F.expr(f"try_variant_get(body, '$.endpoints', '{catalog.ENDPOINTS}')"))
     if info is not None:
         typed = catalog.merge_services(typed, info, ["endpoints"])

@@ -1,7 +1,8 @@
 """The vector store: text chunks and their vectors, as Parquet and as the exchange pair of files.
 
 The pair is <id>.json, {"dim", "count", "chunks"}, and <id>.bin, all vectors one after another as
-little-endian 32-bit floats. It is validated as a whole before any row comes out.
+little-endian 32-bit floats. It is validated as a whole, on the driver, before any row comes out;
+tasks then read their vectors alone. It is for exchange: at scale the store is Parquet.
 """
 
 from __future__ import annotations
@@ -49,14 +50,13 @@ def read_pair(id: str, folder: str) -> tuple[list[str], np.ndarray]:
     dim = int(dim)
     if count is not None and count != len(chunks):
         raise EmbeddingsCorrupted(f"{meta} counts {count} chunks and has {len(chunks)}")
-    with open(data, "rb") as f:
-        raw = f.read()
-    if len(raw) != len(chunks) * dim * 4:
-        raise EmbeddingsCorrupted(f"{data} has {len(raw)} bytes, not {len(chunks) * dim * 4}")
+    size = os.path.getsize(data)
+    if size != len(chunks) * dim * 4:
+        raise EmbeddingsCorrupted(f"{data} has {size} bytes, not {len(chunks) * dim * 4}")
     if any(not isinstance(c, str) for c in chunks):
         raise EmbeddingsCorrupted(f"{meta} has a chunk that is no text")
-    vectors = np.frombuffer(raw, "<f4").reshape(len(chunks), dim)
-    if not np.isfinite(vectors).all():
+    vectors = np.memmap(data, "<f4", "r", shape=(len(chunks), dim)) if chunks else np.zeros((0, dim), "<f4")
+    if not all(np.isfinite(vectors[lo : lo + PART]).all() for lo in range(0, len(chunks), PART)):
         raise EmbeddingsCorrupted(f"{data} has a value that is not finite")
     return chunks, vectors
 
@@ -106,8 +106,10 @@ def export_pair(df: DataFrame, id: str, folder: str) -> None:
 
 
 class _Rows(InputPartition):
-    def __init__(self, lo: int, hi: int) -> None:
-        self.lo, self.hi = lo, hi
+    """PART rows: their texts, and where their vectors are in the file."""
+
+    def __init__(self, lo: int, texts: list[str], dim: int) -> None:
+        self.lo, self.texts, self.dim = lo, texts, dim
 
 
 class _Reader(DataSourceReader):
@@ -115,13 +117,14 @@ class _Reader(DataSourceReader):
         self.id, self.folder = id, folder
 
     def partitions(self) -> Sequence[InputPartition]:
-        n = len(read_pair(self.id, self.folder)[0])
-        return [_Rows(lo, min(n, lo + PART)) for lo in range(0, n, PART)] or [_Rows(0, 0)]
+        texts, vectors = read_pair(self.id, self.folder)
+        return [_Rows(lo, texts[lo : lo + PART], vectors.shape[1]) for lo in range(0, len(texts), PART)] or [_Rows(0, [], 1)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
-        chunks, vectors = read_pair(self.id, self.folder)
-        lo, hi = partition.lo, partition.hi
-        yield pa.RecordBatch.from_arrays([pa.array(range(lo, hi), pa.int32()), pa.array(chunks[lo:hi], pa.string()), pa.array(list(vectors[lo:hi]), pa.list_(pa.float32()))], names=["ord", "content", "embedding"])
+        n, dim, texts = len(partition.texts), partition.dim, partition.texts
+        flat = np.fromfile(paths(self.id, self.folder)[1], "<f4", n * dim, offset=partition.lo * dim * 4)
+        vectors = pa.ListArray.from_arrays(np.arange(0, (n + 1) * dim, dim, dtype=np.int32), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(partition.lo, partition.lo + n, dtype=np.int32)), pa.array(texts, pa.string()), vectors], names=["ord", "content", "embedding"])
 
 
 class VecstoreSource(DataSource):

@@ -10,18 +10,20 @@ import argparse
 import json
 import os
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import embed, search
 from quern.sources import schema_json, vecstore
+from quern.sources.model_files import MODEL, VOCABULARY, ModelFiles
 from quern.streaming import refresh
 
 REQUIRED = object()
+VERSION = "0.1.0"
 
 
 @dataclass
@@ -57,8 +59,8 @@ class Tool:
 class Engine:
     """Both searches over one session. Catalogs are kept by path."""
 
-    def __init__(self, spark: SparkSession, store: DataFrame | Callable[[], DataFrame] | None = None, vocab: dict[str, int] | None = None, model: Callable[[], embed.Model] | None = None, repair: Callable[[], object] | None = None, offline: bool | None = None, refresh_ms: str | None = None) -> None:
-        self.spark, self._store, self.vocab, self.model = spark, store, vocab, model
+    def __init__(self, spark: SparkSession, store: DataFrame | Callable[[], DataFrame] | None = None, vocab: dict[str, int] | None = None, model: Callable[[], embed.Model] | None = None, files: ModelFiles | None = None, repair: Callable[[], object] | None = None, offline: bool | None = None, refresh_ms: str | None = None) -> None:
+        self.spark, self._store, self.vocab, self.model, self.files = spark, store, vocab, model, files
         self.repair, self.refresh_ms = repair or (lambda: None), refresh_ms
         self.offline = os.environ.get("QUERN_OFFLINE") == "true" if offline is None else offline
         self.catalogs: dict[str, refresh.Catalog] = {}
@@ -83,11 +85,34 @@ class Engine:
 
         def find() -> DataFrame:
             store = self._store() if callable(self._store) else self._store
-            q = embed.embed_one(self.spark, query, self.vocab, self.model)
+            # A model that fails is fetched anew, once, and the same query goes through it.
+            q = embed.self_healing(lambda: embed.embed_one(self.spark, query, self.vocab, self.model), self.renew_model, self.offline)
             return search.search_vectors(store, q, maxResults, norm="norm" if "norm" in store.columns else None)
 
         return refresh.with_retry(find, self.repair, offline=self.offline)
 
+    def load_model(self) -> None:
+        """Vocabulary and model from the model's files."""
+
+        def read(f: ModelFiles) -> None:
+            self.vocab, self.model = schema_json.read_vocabulary(self.spark, f.path(VOCABULARY)), embed.onnx_model(f.path(MODEL))
+            self.model()  # a broken file shows here
+
+        self.files.load(read)
+
+    def renew_model(self) -> None:
+        if self.files:
+            self.files.renew()
+            self.load_model()
+
+    def warm(self) -> None:
+        """Fetches and loads ahead what the first search of documents would wait for; offline nothing."""
+        if not self.offline:
+            if self.files:
+                self.load_model()
+            if callable(self._store):
+                refresh.with_retry(self._store, self.repair)
+
     def search_docs(self, query: str, maxResults: object = 10) -> DataFrame:
         """One row, text: the chunks nearest to the query, best first."""
         return search.joined_text(self.ranked_docs(query, maxResults), search.similarity_order("ord"))
@@ -106,6 +131,47 @@ class Engine:
             return str(e)
 
 
+def input_schema(tool: Tool) -> dict[str, Any]:
+    names = {str: "string", bool: "boolean", (int, float): "number"}
+    each = {n: {"type": names[p.kind], "description": p.description, **({} if p.default in (REQUIRED, None) else {"default": p.default})} for n, p in tool.parameters.items()}
+    return {"type": "object", "properties": each, "required": [n for n, p in tool.parameters.items() if p.default is REQUIRED]}
+
+
+def answer(engine: Callable[[], Engine], request: Any) -> dict[str, Any] | None:
+    """The JSON-RPC reply to a request; None to a notification."""
+    if not isinstance(request, dict) or not isinstance(request.get("method"), str):
+        return {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "not a request"}}
+    method, params, id = request["method"], request.get("params") or {}, request.get("id")
+    if "id" not in request:
+        return None
+    reply: dict[str, Any] = {"jsonrpc": "2.0", "id": id}
+    if method == "initialize":
+        return {**reply, "result": {"protocolVersion": params.get("protocolVersion", "2025-06-18"), "capabilities": {"tools": {}}, "serverInfo": {"name": "quern", "version": VERSION}}}
+    if method == "ping":
+        return {**reply, "result": {}}
+    if method == "tools/list":
+        tools = [{"name": n, "title": t.title, "description": t.description, "inputSchema": input_schema(t), "annotations": {"readOnlyHint": t.read_only}} for n, t in engine().tools.items()]
+        return {**reply, "result": {"tools": tools}}
+    if method == "tools/call":
+        if params.get("name") not in engine().tools:
+            return {**reply, "error": {"code": -32602, "message": f"no tool {params.get('name')}"}}
+        return {**reply, "result": {"content": [{"type": "text", "text": engine().call_text(params["name"], params.get("arguments") or {})}]}}
+    return {**reply, "error": {"code": -32601, "message": f"no method {method}"}}
+
+
+def serve(engine: Callable[[], Engine], requests: Iterable[str], out: TextIO) -> None:
+    """Answers JSON-RPC requests, one a line, until they end. Errors of a tool are its text."""
+    for line in requests:
+        if not line.strip():
+            continue
+        try:
+            reply = answer(engine, json.loads(line))
+        except ValueError as e:
+            reply = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+        if reply is not None:
+            print(json.dumps(reply, ensure_ascii=False), file=out, flush=True)
+
+
 def render(df: DataFrame, indent: int | None = None) -> str:
     """A text result as it is, names as a JSON list, other rows as a list of JSON objects."""
     if df.columns == ["text"]:
@@ -127,8 +193,8 @@ def positional(tool: Tool, args: list[str]) -> dict[str, str]:
     return dict(zip(tool.parameters, args))
 
 
-def main(argv: list[str] | None = None, engine: Callable[[], Engine] | None = None, update: Callable[[], refresh.Download] | None = None) -> int:
-    """quern [--offline] [--version] [--download] [tool] [arguments]"""
+def main(argv: list[str] | None = None, engine: Callable[[], Engine] | None = None, update: Callable[[], refresh.Download] | None = None, requests: Iterable[str] | None = None) -> int:
+    """quern [--offline] [--version] [--download] [tool] [arguments]; without a tool it serves both over stdin and stdout."""
     parser = argparse.ArgumentParser("quern", description="Search schema definitions and documentation.", exit_on_error=False)
     parser.add_argument("-v", "--version", action="store_true")
     parser.add_argument("--download", "--download-embeddings", action="store_true", help="bring the vector store up to date")
@@ -143,7 +209,7 @@ def main(argv: list[str] | None = None, engine: Callable[[], Engine] | None = No
         print(e, parser.format_help(), sep="\n", file=sys.stderr)
         return 1
     if a.version:
-        print("0.1.0")
+        print(VERSION)
         return 0
     if a.download:
         if a.offline or a.tool or update is None:
@@ -152,11 +218,18 @@ def main(argv: list[str] | None = None, engine: Callable[[], Engine] | None = No
         done = update()
         print(json.dumps({"etag": done.etag, "updated": done.updated}))
         return 0
+    held: list[Engine] = []
+
+    def start() -> Engine:
+        if not held:
+            held.append(engine() if engine else Engine(SparkSession.builder.getOrCreate()))
+            held[0].offline = held[0].offline or a.offline
+        return held[0]
+
     if not a.tool:
-        parser.print_help()
+        serve(start, sys.stdin if requests is None else requests, sys.stdout)
         return 0
-    e = engine() if engine else Engine(SparkSession.builder.getOrCreate())
-    e.offline = e.offline or a.offline
+    e = start()
     if a.tool not in e.tools:
         print(f"no tool {a.tool}; there are: {', '.join(e.tools)}", file=sys.stderr)
         return 1

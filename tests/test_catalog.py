@@ -68,6 +68,25 @@ def test_elements_and_drafts(shop):
     assert {("ID", True), ("IsActiveEntity", True), ("HasActiveEntity", False), ("HasDraftEntity", False)} <= got
 
 
+def test_order_over_documents_in_several_partitions(spark):
+    documents = [{"definitions": {f"D{i}.x": {"kind": "entity"}, f"D{i}.y": {"kind": "entity"}}} for i in range(9)]
+    rows = schema_json.definitions(text(spark, *documents).repartition(4)).collect()
+    assert len({r.ord for r in rows}) == 18
+    order = {r.name: r.ord for r in rows}
+    assert all(order[f"D{i}.y"] == order[f"D{i}.x"] + 1 for i in range(9))
+
+
+def test_orders_take_from_the_stock(spark, tmp_path):
+    stock = spark.createDataFrame([(1, 10), (2, 0), (3, 5)], "id int, stock int")
+    orders = spark.createDataFrame([(1, 4, 1, "a"), (1, 7, 2, "b"), (1, 0, 3, "c"), (2, 1, 4, "d"), (9, 1, 5, "e"), (3, 5, 6, "f")], "book int, quantity int, at int, buyer string")
+    left, events = catalog.take_orders(stock, orders)
+    assert {r.id: r.stock for r in left.collect()} == {1: 6, 2: 0, 3: 0}
+    for _ in range(2):
+        catalog.emit(events, str(tmp_path / "sink"))
+    assert sorted((r.book, r.quantity, r.buyer) for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == [(1, 4, "a")] * 2 + [(3, 5, "f")] * 2
+    assert [tuple(r) for r in catalog.lookup(stock, "id", 3, ["stock"]).collect()] == [(3, 5)] and catalog.lookup(stock, "id", 7, ["stock"]).isEmpty()
+
+
 def test_snapshots(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, mtime int")
     new = spark.createDataFrame([("a", 1), ("b", 5), ("d", None)], "path string, mtime int")

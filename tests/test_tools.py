@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -26,6 +27,8 @@ def test_search_model(engine):
     rows = e.call_tool("search_model", {"projectPath": path, "kind": "service", "topN": 3}).collect()
     assert rows[0].name == "AdminService" and rows[0].exposed_entities[0] == "AdminService.Books" and tuple(rows[0].endpoints[0]) == ("odata", "odata/v4/admin/")
     rows = e.call_tool("search_model", {"projectPath": path, "name": "Books", "kind": "entity", "topN": 2}).collect()
+    drafts = json.loads(tools.render(e.call_tool("search_model", {"projectPath": path, "name": "AdminService.Books", "kind": "entity"})))[0]["elements"]
+    assert drafts["IsActiveEntity"]["key"] is True and {"HasActiveEntity", "HasDraftEntity", "ID", "parts"} <= set(drafts) and drafts["ID"] == {"key": True, "type": "Integer"}
     assert [r.name for r in rows] == ["my.Books", "AdminService.Books"] and rows[1].endpoints[0].path == "odata/v4/admin/Books"
     assert e.call_tool("search_model", {"projectPath": path, "name": "books", "namesOnly": True, "topN": 100}).columns == ["name"]
 
@@ -74,8 +77,31 @@ def test_command_line(engine, capsys):
     assert capsys.readouterr().out == "dog\n"
     assert tools.main(["nothing"], lambda: e) == 1 and "search_docs" in capsys.readouterr().err
     assert tools.main(["--wrong"]) == 1 and tools.main(["search_model", "/nowhere/x.json"], lambda: e) == 1
-    assert tools.main(["--version"]) == 0 and tools.main([]) == 0
+    assert tools.main(["--version"]) == 0 and tools.main([], requests=[]) == 0
     capsys.readouterr()
     assert tools.main(["--download"], update=lambda: refresh.Download("v1", True)) == 0
     assert json.loads(capsys.readouterr().out) == {"etag": "v1", "updated": True}
     assert tools.main(["--download", "--offline"], update=lambda: None) == 1
+
+
+def test_server(engine):
+    e, path = engine
+    calls = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2025-03-26"}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "search_model", "arguments": {"projectPath": path, "name": "Admin", "kind": "service", "namesOnly": True}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "search_docs", "arguments": {}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "nothing"}},
+        {"jsonrpc": "2.0", "id": 6, "method": "nothing"},
+        {"jsonrpc": "2.0", "id": 7, "method": "ping"},
+    ]
+    out = io.StringIO()
+    tools.serve(lambda: e, [*map(json.dumps, calls), "", "no json", "[1]"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, 7, None, None]
+    assert got[0]["result"]["protocolVersion"] == "2025-03-26" and "tools" in got[0]["result"]["capabilities"]
+    listed = {t["name"]: t["inputSchema"] for t in got[1]["result"]["tools"]}
+    assert set(listed) == set(e.tools) and listed["search_model"]["required"] == ["projectPath"] and listed["search_docs"]["properties"]["maxResults"]["default"] == 10
+    assert json.loads(got[2]["result"]["content"][0]["text"]) == ["AdminService"] and got[3]["result"]["content"][0]["text"] == "query is required"
+    assert [r["error"]["code"] for r in got[4:6]] == [-32602, -32601] and got[6]["result"] == {} and [r["error"]["code"] for r in got[7:]] == [-32700, -32600]

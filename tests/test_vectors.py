@@ -53,11 +53,12 @@ def test_batch_both_ways(spark):
     for i, a in rows[:7]:
         best = sorted(((-round(s, 12) if not math.isnan(s := cosine(a, b)) else math.inf, j) for j, b in rows))[:4]
         want[f"q{i}"] = [(j, None if s == math.inf else -s) for s, j in best]
-    for most in (1 << 20, 0):
+    for values, block in ((1 << 20, 1 << 20), (6, 1 << 20), (1 << 20, 2048), (6, 1)):
         got = {}
-        for r in search.nearest_batch(d, q, 4, "id", "v", broadcast_values=most).orderBy("query_id", "rank").collect():
+        for r in search.nearest_batch(d, q, 4, "id", "v", pass_values=values, block_values=block).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.id, None if math.isnan(r.similarity) else round(r.similarity, 12)))
         assert {k: sorted(s is not None and s for _, s in v) for k, v in got.items()} == {k: sorted(s is not None and s for _, s in v) for k, v in want.items()}
+    assert search.nearest_batch(d, q.limit(0), 4, "id", "v").count() == 0
     assert search.nearest_batch(d.limit(0), q, 4, "id", "v").count() == 0
 
 
