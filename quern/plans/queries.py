@@ -469,7 +469,7 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation JOIN region ON r_regionkey = n_regionkey),
 s AS (SELECT r_name, min(k) AS k, count(*) AS n FROM n GROUP BY r_name),
 each AS (SELECT k * 2 - 1 AS spot, r_name AS name, 'service' AS kind, '/' || replace(lower(r_name), ' ', '-') || '/' AS path, n AS n_exposed FROM s
-    UNION ALL SELECT k * 2, r_name || '.' || n_name, 'entity', '/' || replace(lower(r_name), ' ', '-') || '/' || n_name, NULL FROM n)
+    UNION ALL SELECT k * 2, r_name || '.' || n_name, 'entity', '/' || replace(lower(r_name), ' ', '-') || '/' || n_name, 0 FROM n)
 SELECT (row_number() OVER (ORDER BY spot) - 1)::BIGINT AS ord, name, kind, path, n_exposed::INTEGER AS n_exposed FROM each""")
 def schema_ingest(spark: SparkSession, d: str) -> DataFrame:
     """A catalog of all nations as entities of their regions, through schema JSON."""
@@ -480,7 +480,8 @@ def schema_ingest(spark: SparkSession, d: str) -> DataFrame:
         defs.setdefault(r.r_name, {"kind": "service", "endpoints": [{"kind": "odata", "path": f"/{r.r_name.lower().replace(' ', '-')}/"}]})
         defs[f"{r.r_name}.{r.n_name}"] = {"kind": "entity", "elements": {"ID": {"key": True, "type": "Integer"}, "name": {"type": "String"}}}
     built = schema_json.build(schema_json.definitions(spark.createDataFrame([(json.dumps({"definitions": defs}),)], "value string")))
-    return built.select("ord", "name", "kind", F.col("endpoints")[0]["path"].alias("path"), F.size("exposed_entities").alias("n_exposed"))
+    place = F.col("ord").bitwiseAND(F.lit((1 << 24) - 1)).alias("ord")  # there is one document
+    return built.select(place, "name", "kind", F.col("endpoints")[0]["path"].alias("path"), F.coalesce(F.size("exposed_entities"), F.lit(0)).alias("n_exposed"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= 1000)")
