@@ -6,12 +6,33 @@ hash is a polynomial over its bytes modulo 2**64, taken from one running sum ove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, which maps batches, and at its end the memory that it freed given back: workers go on
+    for a whole session, and each would keep what its largest task took."""
+
+    @functools.wraps(run)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return mapped
+
+
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 WORD = np.zeros(256, bool)

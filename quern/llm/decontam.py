@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans
+from quern.llm._bytes import Powers, U, hashes, mix, pieces, spans, trimmed
 from quern.llm._io import cut, id_and_text, id_and_texts, id_type, repeats_ids, table, without
 
 MIN_MATCH = 5
@@ -130,7 +130,7 @@ def _scan(ids: pa.Array, texts: list[str], m: int, least: float) -> Callable:
             c = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c[0], pa.int64())), ids.take(pa.array(c[1], pa.int64())), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.int32()), pa.array(c[6], TILES)], names=["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "n_tiles", "tiles"])
 
-    return run
+    return trimmed(run)
 
 
 def _windows(m: int) -> Callable:
@@ -143,7 +143,7 @@ def _windows(m: int) -> Callable:
                 row = lo + np.searchsorted(first, where, side="right") - 1
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(w.view(np.int64))], names=["id", "w"])
 
-    return run
+    return trimmed(run)
 
 
 def _pairs(m: int, least: float) -> Callable:
@@ -153,7 +153,7 @@ def _pairs(m: int, least: float) -> Callable:
                 scan = _scan(b.column("item_id").slice(k, 1), [b.column("item")[k].as_py()], m, least)
                 yield from scan(iter([b.slice(k, 1).select(["doc_id", "text"])]))
 
-    return run
+    return trimmed(run)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import lattice
-from quern.llm._bytes import Powers
+from quern.llm._bytes import Powers, trimmed
 from quern.llm._io import as_id, cut, id_and_text, id_type, table
 
 MAX_LABELLED = 500
@@ -44,7 +44,7 @@ def _expecter(held: object, languages: list[str], logp: object) -> Callable:
         piece, model = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(model.astype(np.int32)), pa.array(total[piece, model])], names=["piece", "model", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def fit(docs: DataFrame, held: object, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
@@ -79,7 +79,7 @@ def _scorer(held: object, languages: list[str], logp: object) -> Callable:
             share = 1 / np.exp(np.minimum(total - best[:, None], 0)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(languages, object)[top], pa.string(), mask=~some), pa.array(best, mask=~some), pa.array(share, mask=~some)], names=["doc_id", "lang", "log_prob", "posterior"])
 
-    return run
+    return trimmed(run)
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED, vocabulary: str = lattice.VOCABULARY) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm._bytes import trimmed
 from quern.llm._io import table
 
 WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*|©")
@@ -269,7 +270,7 @@ def _scanner(sources: dict[str, str]) -> Callable:
             at = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([f["license"] for _, f in rows], pa.string()), pa.array([f["start"] for _, f in rows], pa.int32()), pa.array([f["end"] for _, f in rows], pa.int32()), pa.array([f["parts"] for _, f in rows], PARTS)], names=["doc_id", "license", "start", "end", "parts"])
 
-    return run
+    return trimmed(run)
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

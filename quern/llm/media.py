@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import mix, pieces
+from quern.llm._bytes import mix, pieces, trimmed
 from quern.llm._io import as_id, cut, numbered, table, whole
 
 LEAST, MOST, LEVEL = 256, 8192, 9
@@ -80,7 +80,7 @@ def _lister(least: int, most: int, level: int) -> Callable:
                 lengths.append([z - a for a, z in zip(starts, ends)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(sha, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32()))], names=["id", "size", "sha", "digests", "lengths"])
 
-    return run
+    return trimmed(run)
 
 
 def payloads(media: DataFrame, id_col: str, payload_col: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _dealer(held: object | None, shared: bool, least: int, most: int, level: int
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary() if shared else pa.int64()), pa.array(out, pa.binary())], names=["key", "payload"])
 
-    return run
+    return trimmed(run)
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

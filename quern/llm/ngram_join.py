@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans
+from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans, trimmed
 from quern.llm._graph import components
 from quern.llm._io import broadcast_if_small, cut, fresh, id_and_text, numbered, repeats_ids, table, without
 
@@ -41,8 +41,8 @@ THRESHOLD = 0.6
 PIECE = 1 << 19
 SALT = 0xA0761D6478BD642F
 #: N-grams that a task counts, and n-grams that a task holds before it sends them on.
-LOAD = 1 << 21
-HELD = 1 << 19
+LOAD = 1 << 20
+HELD = 1 << 18
 SKETCH = 18
 #: An n-gram comes last if the counts of its place in the table are more than so many times the mean and this number.
 FREQUENT, FREQUENT_LEAST = 2, 1000
@@ -91,9 +91,10 @@ def _signer(n: int) -> Callable:
             own = table.reshape(64, -1)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(64, t) for t in kinds[:4]), pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in own], pa.binary())], names=names)
 
-    return run
+    return trimmed(run)
 
 
+@trimmed
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
@@ -171,7 +172,7 @@ def _scatterer(n: int, threshold: float, parts: int, counts: object, most: float
         if sets:
             yield from send(docs, sets)
 
-    return run
+    return trimmed(run)
 
 
 def _by_kind(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
@@ -204,9 +205,10 @@ def _frequencies(parts: int) -> Callable:
             p = o[lo : lo + HELD]
             yield _packed(0, part[lo : lo + HELD], doc[p], size[p], room[p], g[p], uses[lo : lo + HELD])
 
-    return run
+    return trimmed(run)
 
 
+@trimmed
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, size) of the rarest n-grams of each document, as far as its prefix goes."""
     passed: list[pa.RecordBatch] = []
@@ -246,7 +248,7 @@ def _packer(n: int, names: list[str]) -> Callable:
             if held:
                 yield rows(b.num_rows)
 
-    return run
+    return trimmed(run)
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -272,7 +274,7 @@ def _measurer(threshold: float) -> Callable:
             out = [jaccard(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    return run
+    return trimmed(run)
 
 
 def _products(threshold: float) -> Callable:
@@ -319,7 +321,7 @@ def _products(threshold: float) -> Callable:
         if len(docs) > 1:
             yield from links(docs, sides, sets)
 
-    return run
+    return trimmed(run)
 
 
 class Join:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm._bytes import trimmed
 from quern.llm._io import table
 
 #: The session's setting for the key. Without one a session makes itself a random key.
@@ -246,7 +247,7 @@ def _replacer(key: bytes, names: list[str], count: bool) -> Callable:
                 cols["found"] = pa.array([found.get(i, []) for i in range(len(col))], FOUND)
             yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols])
 
-    return run
+    return trimmed(run)
 
 
 def _key(spark: SparkSession, key: str | None) -> bytes:

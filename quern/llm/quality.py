@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import WORD, Powers, U, hashes, mix, pieces
+from quern.llm._bytes import WORD, Powers, U, hashes, mix, pieces, trimmed
 from quern.llm._io import as_id, cut, id_and_text, id_type, numbered, table, whole, without
 
 BITS = 20
@@ -90,7 +90,7 @@ def _counter(bits: int) -> Callable:
             p = k[lo : lo + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *(pa.array(x[p]) for x in (raw, target, docs, target_docs))], names=["bucket", "raw", "target", "docs", "target_docs"])
 
-    return run
+    return trimmed(run)
 
 
 def _gumbel(seed: pa.Array) -> np.ndarray:
@@ -109,7 +109,7 @@ def _scorer(weights: object, bits: int) -> Callable:
                 total[lo : lo + rows] = np.bincount(np.repeat(np.arange(rows), np.diff(before)), weights=w[buckets], minlength=rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total + _gumbel(b.column("seed")))], names=["doc_id", "n_grams", "log_weight", "key"])
 
-    return run
+    return trimmed(run)
 
 
 def chosen(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -137,12 +137,12 @@ class Model:
         return np.where(differs, np.log((target + self.smoothing) / (expected + self.smoothing)), 0.0).astype(np.float32)
 
 
-def _left_out(held: object, bits: int) -> Callable:
+def _left_out(held: object, weights: object, bits: int) -> Callable:
     """(key, good) of labelled documents, each good one judged without its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, powers = Model(*held.value), Powers()
-        every = model.weights()
+        every = weights.value
         for b in batches:
             good, total, some = np.asarray(b.column("good").to_numpy(zero_copy_only=False), bool), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             for lo, buckets, before in features(b.column("text"), powers, bits):
@@ -152,7 +152,7 @@ def _left_out(held: object, bits: int) -> Callable:
                     total[k] = (model.weights(at, n) if good[k] else every[at]).astype(np.float64) @ n
             yield pa.RecordBatch.from_arrays([pa.array((total + _gumbel(b.column("seed")))[some]), pa.array(good[some])], names=["key", "good"])
 
-    return run
+    return trimmed(run)
 
 
 def fit(slim: DataFrame, labelled: DataFrame, smoothing: float = SMOOTHING, bits: int = BITS, significance: float = SIGNIFICANCE) -> Model | None:
@@ -228,7 +228,7 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_l
     if share is not None or k is not None:
         return scored if k is None and share >= 1 else top_k(scored, round(share * scored.count()) if k is None else k)
     counts = sc.broadcast((model.counts.astype(np.int32) if model.counts.max() < 1 << 31 else model.counts, model.size, model.significance, model.smoothing))
-    known = slim.select("*", seed.alias("seed")).join(F.broadcast(labelled), "doc_id").mapInArrow(_left_out(counts, BITS), "key double, good boolean").toArrow()
+    known = slim.select("*", seed.alias("seed")).join(F.broadcast(labelled), "doc_id").mapInArrow(_left_out(counts, held, BITS), "key double, good boolean").toArrow()
     return scored.where(F.col("key") >= least_key(known["key"].to_numpy(), known["good"].to_numpy()))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans
+from quern.llm._bytes import Powers, U, grams, hashes, mix, pieces, spans, trimmed
 from quern.llm._io import id_and_text, numbered, table, whole
 
 MIN_WORDS = 8
@@ -134,7 +134,7 @@ def _units(least: int, passage: int, paragraphs: bool, window: int) -> Callable:
                 digest = np.where(again, mix(doc.astype(np.int64).view(U)), digest)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.where(again, ~span, span)), pa.array(digest.view(np.int64))], names=["doc_id", "span", "h"])
 
-    return run
+    return trimmed(run)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", min_passage: int = MIN_PASSAGE, window: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quern.llm import lattice
-from quern.llm._bytes import Powers
+from quern.llm._bytes import Powers, trimmed
 from quern.llm._io import id_and_text, id_type, table
 
 
@@ -32,7 +32,7 @@ def _counter(held: object) -> Callable:
             size = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.bincount(row, minlength=size)), pa.array(np.bincount(row, weights=n[word], minlength=size).astype(np.int64)), pa.array(np.bincount(row, weights=logp[word], minlength=size))], names=["doc_id", "n_words", "n_tokens", "log_prob"])
 
-    return run
+    return trimmed(run)
 
 
 def added(df: DataFrame, name: str, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
@@ -47,7 +47,7 @@ def added(df: DataFrame, name: str, vocabulary: str = lattice.VOCABULARY) -> Dat
             n = np.bincount(row, weights=lattice.viterbi(texts, vocab, score)[1][word], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n.astype(np.int64))], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
