@@ -26,8 +26,10 @@ MARK = "▁"
 SOLID = np.ones(256, bool)
 SOLID[[*b"\t\n\v\f\r "]] = False
 #: Characters of words that are walked at once (one word may have more), and positions whose pieces are found at once.
-BLOCK = 1 << 18
-AHEAD = 1 << 16
+BLOCK = 1 << 17
+AHEAD = 1 << 15
+#: Bytes of text whose words are gathered at once.
+PIECE = 1 << 19
 #: What a byte of a character outside the vocabulary costs below the rarest piece.
 BYTE_PENALTY = 10.0
 
@@ -99,7 +101,7 @@ def words(col: pa.Array, powers: Powers) -> tuple[list[str], np.ndarray, np.ndar
     """Distinct pre-tokens of a text column in order; for each occurrence its word, and its row."""
     seen: dict[int, bytes] = {}
     keys, places, rows = [], [], []
-    for lo, _, data, at in pieces(col):
+    for lo, _, data, at in pieces(col, PIECE):
         s, e, first = spans(data, at, SOLID)
         own, where, place = np.unique(hashes(data, s, e, powers), return_index=True, return_inverse=True)
         held = data.tobytes()
