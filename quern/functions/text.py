@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,10 @@ PRE_TOKEN = f"[{PUNCTUATION}]|[^{PUNCTUATION}{SPACE}]+"
 #: tokens that begin 459 apart.
 MAX_LENGTH = 512
 LONGEST_WORD = 200
+#: Tokens and pieces that WordPiece takes at once, and distinct tokens whose pieces a worker keeps.
+SLICE_TOKENS = 1 << 18
+SLICE_PIECES = 1 << 18
+KNOWN_TOKENS = 1 << 18
 
 
 @F.pandas_udf(T.StringType())
@@ -73,34 +78,62 @@ def pieces_of(token: str, vocab: dict[str, int], unknown: str = "[UNK]", longest
 
 def wordpiece(df: DataFrame, tokens: str, vocab: dict[str, int], out: str = "pieces", ids: str | None = "ids", unknown: str = "[UNK]", longest: int = LONGEST_WORD) -> DataFrame:
     """df with the pieces of an array of pre-tokens, and their ids; tokens are put in lower case
-    here, and no array counts as an empty one. Each distinct token is cut once a batch."""
+    here, and no array counts as an empty one. Each distinct token is cut once a slice of a batch;
+    what a worker holds follows the slices and the largest row."""
     held = df.sparkSession.sparkContext.broadcast(vocab)
-    missing = special_ids(vocab)["[UNK]"]
+    # Else a filter on the pieces goes below them, and they are worked out for it once more.
+    cut = F.arrow_udf(_pieces(held, special_ids(vocab)["[UNK]"], unknown, longest), "pieces array<string>, ids array<bigint>").asNondeterministic()
+    done = df.withColumn("_cut", cut(tokens)).withColumn(out, F.col("_cut.pieces"))
+    return (done.withColumn(ids, F.col("_cut.ids")) if ids else done).drop("_cut")
+
 
+def _pieces(held: Broadcast, missing: int, unknown: str, longest: int, tokens: int = SLICE_TOKENS, pieces: int = SLICE_PIECES, keep: int = KNOWN_TOKENS) -> Callable:
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, known = held.value, {}
+        words, known, codes = held.value, {}, {}
+        names, numbers = [], []
+
+        def cut_up(token: str) -> bytes:
+            found = pieces_of(token.lower(), words, unknown, longest)
+            for p in found:
+                if p not in codes:
+                    codes[p] = len(codes)
+                    names.append(p)
+                    numbers.append(words.get(p, missing))
+            return np.array([codes[p] for p in found], np.int32).tobytes()
+
         for col in it:
             size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = col.flatten().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            for t in distinct:
-                if t not in known:
-                    known[t] = pieces_of(t.lower(), words, unknown, longest)
-            each = [known[t] for t in distinct]
-            flat = [p for row in each for p in row]
-            n = np.fromiter(map(len, each), np.int64, len(each))
-            code = coded.indices.to_numpy()
-            start, many = (np.cumsum(n) - n)[code], n[code]
-            take = pa.array(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum()))
-            edge = pa.array(np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(size)]].astype(np.int32))
-            values = pa.array(flat, pa.string()), pa.array([words.get(p, missing) for p in flat], pa.int64())
-            if len(known) > 1_000_000:
-                known.clear()
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, v.take(take)) for v in values], ["pieces", "ids"])
-
-    cut = F.arrow_udf(run, "pieces array<string>, ids array<bigint>")
-    done = df.withColumn("_cut", cut(tokens)).withColumn(out, F.col("_cut.pieces"))
-    return (done.withColumn(ids, F.col("_cut.ids")) if ids else done).drop("_cut")
+            for lo, hi in _slices(size, tokens):
+                coded = col.slice(lo, hi - lo).flatten().dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                if len(known) > keep:
+                    known.clear()
+                for t in distinct:
+                    if t not in known:
+                        known[t] = cut_up(t)
+                each = [known[t] for t in distinct]
+                flat, n = np.frombuffer(b"".join(each), np.int32), np.fromiter(map(len, each), np.int64, len(each)) // 4
+                code, first = coded.indices.to_numpy(), np.cumsum(n) - n
+                before = np.r_[0, np.cumsum(size[lo:hi])]
+                upto = np.r_[0, np.cumsum(n[code])][before]
+                values = pa.array(names, pa.string()), pa.array(numbers, pa.int64())
+                for a, b in _slices(np.diff(upto), pieces):
+                    own = code[before[a] : before[b]]
+                    start, many = first[own], n[own]
+                    take = pa.array(flat[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+                    edge = pa.array((upto[a : b + 1] - upto[a]).astype(np.int32))
+                    yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, v.take(take)) for v in values], ["pieces", "ids"])
+
+    return run
+
+
+def _slices(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of rows whose sizes sum to most, or of one row."""
+    upto, lo = np.r_[0, np.cumsum(size)], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def special_ids(vocab: dict[str, int]) -> dict[str, int]:

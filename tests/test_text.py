@@ -1,5 +1,7 @@
 import unicodedata
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,22 @@ def test_self_healing():
     calls.clear()
     with pytest.raises(OSError):
         embed.self_healing(run, lambda: calls.append("reload"), offline=True)
+
+
+def test_wordpiece_runs_once_under_a_filter(spark):
+    d = spark.createDataFrame([(1, "the unaffable"), (2, ""), (3, None), (4, "ab!")], "id int, t string").select("id", text.pretokens(F.col("t")).alias("pre"))
+    cut = text.wordpiece(d, "pre", VOCAB).where(F.size("pieces") > 0).select("id", "pieces", "ids")
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.id: (r.pieces, r.ids) for r in cut.collect()} == {1: (["the", "un", "##aff", "##able"], [4, 5, 6, 7]), 4: (["a", "##b", "!"], [8, 10, 14])}
+
+
+@pytest.mark.parametrize("tokens,pieces,keep", [(50, 40, 3), (1, 1, 0), (1 << 18, 1 << 18, 1 << 18)])
+def test_wordpiece_slices(tokens, pieces, keep):
+    """A batch comes back in parts of at most so many pieces, or of one row."""
+    words = ["unaffable", "the", "ab", "xyz"]
+    rows = [[words[k % 4] for k in range(i % 23)] for i in range(300)] + [["unaffable"] * 99, None, []]
+    run = text._pieces(SimpleNamespace(value=VOCAB), 1, "[UNK]", 200, tokens, pieces, keep)
+    parts = list(run(iter([pa.array(rows[:200], pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))[200:]])))
+    want = [[p for t in r or [] for p in text.pieces_of(t, VOCAB)] for r in rows]
+    assert [r for p in parts for r in p.to_pylist()] == [{"pieces": w, "ids": [VOCAB[x] for x in w]} for w in want]
+    assert all(len(p) == 1 or len(p.field("pieces").flatten()) <= pieces for p in parts)
