@@ -1,6 +1,10 @@
 import math
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
@@ -62,6 +66,54 @@ def test_batch_both_ways(spark):
     assert search.nearest_batch(d.limit(0), q, 4, "id", "v").count() == 0
 
 
+def test_batch_with_copies_and_no_direction(spark):
+    """Copies tie exactly and come by their keys; zero and NaN vectors come last; keys may be texts;
+    more rows than queries and the other way round; missing values are NaN."""
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(40)] + [[0.0] * 7, [math.nan] + [1.0] * 6, [None] + [1.0] * 6, [math.inf] * 7]
+    rows = [(f"{i * 37 % 1000:03}", some[i % 44] if i % 3 else some[0]) for i in range(300)]
+    asked = [(f"q{i:03}", v) for i, (_, v) in enumerate(rows)]
+
+    def cosine(a, b):
+        if not all(x is not None and math.isfinite(x) for x in a + b) or not any(a) or not any(b):
+            return None
+        return 1.0 if a == b else round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+
+    d = spark.createDataFrame(rows, "id string, v array<double>").repartition(7)
+    for own in (asked, asked[:50], asked * 2):
+        q = spark.createDataFrame([(f"{x}-{n}", v) for n, (x, v) in enumerate(own)], "query_id string, query array<double>").repartition(3)
+        want = {f"{x}-{n}": [(i, s) for _, i, s in sorted((-c if c is not None else 9, i, c) for i, v in rows for c in [cosine(a, v)])[:6]] for n, (x, a) in enumerate(own)}
+        for values in (1 << 20, 500):
+            got = {}
+            for r in search.nearest_batch(d, q, 6, "id", "v", pass_values=values).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.id, None if math.isnan(r.similarity) else round(r.similarity, 9)))
+            assert got == want
+
+
+def test_batch_sorts_candidates_alone(monkeypatch):
+    """All rows used to be sorted for each query; now those alone that may be among the nearest."""
+    rng, worked = np.random.default_rng(6), []
+    m, real = rng.normal(size=(20_000, 16)).astype(np.float32), search._products
+    monkeypatch.setattr(search, "_products", lambda a, b: worked.append(len(a)) or real(a, b))
+    run = search._by_rows(SimpleNamespace(value=(pa.array(range(20_000)), m)), 5, ["q", "id", "s"], 1 << 20)
+    given = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(list(m[:300]))], names=["q", "v"])
+    got = pa.Table.from_batches(run(iter([given]))).to_pandas().sort_values(["q", "s", "id"], ascending=[True, False, True])
+    x = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    assert (got.id.to_numpy().reshape(300, 5) == np.argsort(-(x[:300] @ x.T), axis=1)[:, :5]).all()
+    assert sum(worked) - 20_300 < 0.01 * 300 * 20_000
+
+
+def test_batch_of_one_vector_many_times():
+    ids, m = search._fewest(pa.array([*range(500, 0, -1), 501]), np.array([[1.0, 2.0]] * 500 + [[2.0, 1.0]]), 3)
+    assert ids.to_pylist() == [3, 2, 1, 501] and m.tolist() == [[1.0, 2.0]] * 3 + [[2.0, 1.0]]
+
+
+@pytest.mark.parametrize("rows", [[[1.0], None], [[1.0], [1.0, 2.0]]])
+def test_batch_wants_vectors_of_one_length(rows):
+    with pytest.raises(ValueError):
+        search._matrix(pa.array(rows, pa.list_(pa.float32())))
+
+
 def test_joined_text(spark):
     d = spark.createDataFrame([(2, "b"), (1, "a")], "r int, content string")
     assert search.joined_text(d, [F.asc("r")]).first().text == "a\n---\nb"
